@@ -43,5 +43,20 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+OP10 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+again AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM win JOIN again USING (g))),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS k, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) a ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_near_dedup": OP4, "op7_winnowing_decontamination": OP7}
+    return {"op10_substring_dedup": OP10, "op4_minhash_near_dedup": OP4, "op7_winnowing_decontamination": OP7}
