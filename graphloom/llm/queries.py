@@ -46,5 +46,12 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(rows.union(tricky)))
 
 
+def op1_additive_quantisation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.neighbours import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
