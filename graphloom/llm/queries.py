@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,5 +54,15 @@ def op1_additive_quantisation_ann(spark: SparkSession, sf_dir: str) -> DataFrame
     return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op2_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = fit(docs, _table(spark, sf_dir, "labels").where(fold != 1))
+    out = score(docs.withColumn("held_out", F.coalesce(fold == 1, F.lit(False))), model)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
