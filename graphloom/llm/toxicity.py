@@ -41,6 +41,8 @@ FLOOR = -3.0
 COST, AGAINST = 1000.0, 16.0
 #: Toxic texts that a unit of no clean text must be in to count as toxic from the start.
 OFTEN = 4
+#: Toxic units, most frequent first, of which spoilt variants are trained on too.
+VARIED = 24
 #: Units of each clean text that are trained against.
 HARD = 4
 _SIZE = 64
@@ -165,6 +167,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * top + self.b, -30, 30)))
 
 
+def variants(word: str) -> list[str]:
+    """The word with a strange character put in at two places, and with all its letters apart."""
+    if len(word) < 4:
+        return []
+    a, b = len(word) // 3, (2 * len(word)) // 3
+    return [word[:a] + "x" + word[a:], word[:b] + "*" + word[b:], word[:a] + "." + word[a:b] + "_" + word[b:], ".".join(word)]
+
+
 def _without_copies(bags: list[list[str]], labels: list[int]) -> tuple[list[list[str]], list[int]]:
     """Leave out texts of equal label whose units have the same four least hashes as an earlier one's: copies of a text are no further evidence."""
     seen: set = set()
@@ -217,15 +227,17 @@ def train(bags: list[list[str]], labels: list[int]) -> Model:
         plain = rng.permutation(np.flatnonzero(n > 0))[:3000]
         marks = [u for u, _ in bad.most_common(LANDMARKS // 2)]
         marks += [u for u, _ in sorted(good.items(), key=lambda x: (-margin[x[0]], x[0]))[: LANDMARKS // 2] if u not in marks]
-        mu, mk, mw = Features([words[u] for u in marks]).matrix()
+        spoilt = [v for u, _ in bad.most_common(VARIED) for v in variants(words[u])]
+        names = [words[u] for u in marks] + spoilt
+        mu, mk, mw = Features(names).matrix()
         codes = np.unique(mk)
-        dense = np.zeros((len(codes) + 1, len(marks)), dtype=np.float32)  # the last row is of codes that no landmark has
+        dense = np.zeros((len(codes) + 1, len(names)), dtype=np.float32)  # the last row is of codes that no landmark has
         np.add.at(dense, (np.searchsorted(codes, mk), mu), mw)
 
-        def kernel(us: np.ndarray, codes=codes, dense=dense) -> np.ndarray:
+        def kernel(us: list[str], codes=codes, dense=dense) -> np.ndarray:
             out = []
             for lo in range(0, len(us), 1000):
-                f = Features([words[u] for u in us[lo : lo + 1000]])
+                f = Features(us[lo : lo + 1000])
                 u, k, w = f.matrix()
                 at = np.minimum(np.searchsorted(codes, k), len(codes) - 1)
                 hit = codes[at] == k
@@ -234,14 +246,16 @@ def train(bags: list[list[str]], labels: list[int]) -> Model:
                 out.append(z)
             return np.concatenate(out)
 
-        val, vec = np.linalg.eigh(kernel(np.array(marks)) + 1e-3 * np.eye(len(marks)))
+        val, vec = np.linalg.eigh(kernel(names) + 1e-3 * np.eye(len(names)))
         root = (vec / np.sqrt(np.maximum(val, 1e-6))) @ vec.T
         rows = np.array([*bad, *good, *(u for u in plain.tolist() if u not in bad and u not in good)])
         sign = np.where(np.arange(len(rows)) < len(bad), 1.0, -1.0)
         weight = np.array([*(1 + np.log(k) for k in bad.values()), *np.ones(len(rows) - len(bad))])
         weight[: len(bad)] *= COST / weight[: len(bad)].sum()
         weight[len(bad) :] *= AGAINST * COST / max(len(rows) - len(bad), 1)
-        w, bias = _svm(kernel(rows) @ root, sign, weight)
+        more = np.full(len(spoilt), 0.5 * COST / max(len(spoilt), 1))
+        z = kernel([words[u] for u in rows] + spoilt) @ root
+        w, bias = _svm(z, np.append(sign, np.ones(len(spoilt))), np.append(weight, more))
         theta = np.zeros(_SIZE**3, dtype=np.float32)
         theta[codes] = dense[:-1] @ (root @ w)
         margin = Model(theta, bias, 0, 0).unit_margins(words)
