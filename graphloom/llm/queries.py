@@ -64,5 +64,25 @@ def op2_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.url_filter import judge
+
+    return judge(_table(spark, sf_dir, "pages"))
+
+
+def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality import KEEP, fit, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    out = score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "quality_score", "text_score", "metadata_score", (F.col("quality_score") >= KEEP).alias("kept"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
