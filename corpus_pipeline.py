@@ -1,16 +1,69 @@
-"""Corpus preparation: quality, near-duplicates, decontamination, secrets, packing."""
+"""Corpus preparation: quality, near-duplicates, decontamination, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. A stage judges every document that its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import decontaminate, near_dedup, packing, quality, secrets
+from graphloom.plans.scratch import materialize
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the combined quality score rejects go. Labels teach it what is bad."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.where(F.col("quality_score") >= quality.KEEP).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one of the least id; of rows that repeat an id, one."""
+    judged = materialize(near_dedup.near_duplicates(docs, shingle=5, percent=80), "judged")
+    gone = judged.where("NOT kept").select("doc_id").distinct()
+    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = judged.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return stay
+    return stay.join(again, "doc_id", "left_anti").union(stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of any benchmark item go."""
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("contamination.hit_words") == 0).select(*docs.columns)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Confirmed secrets are masked in the text, and n_chars follows it."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.when(F.contains("text", F.lit(secrets.MASK)), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document gets its place in a sequence of packing.CAPACITY tokens."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("minhash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secrets_stage),
+    ("best-fit packing", packing_stage),
+]
+#: Learnt and token-based stages can't be put in SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, f"stage{i}")
     return docs
