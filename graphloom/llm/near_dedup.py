@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textops as X
 from graphloom.operators.components import star_components
-from graphloom.plans.scratch import discard, materialize
+from graphloom.plans.scratch import materialize
 
-#: Members of a bucket that are compared with all its other classes in one round.
-PIVOTS = 16
+#: Counters of shingle hashes that order the elements of differences, rarest first; their precision affects speed alone.
+ORDER = 1 << 19
 
 
 def _sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,15 +139,113 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (key[-1], least[-1])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """Those pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
+def _prefixes(a: np.ndarray, b: np.ndarray, percent: int, often: np.ndarray) -> tuple[bool, np.ndarray, np.ndarray]:
+    """Whether set b links with its head a; and, for the search inside a's family, two prefixes of what b differs by."""
+    n, m = len(a), len(b)
+    at = np.searchsorted(a, b)
+    common = a[np.minimum(at, n - 1)] == b
+    i = int(common.sum())
+    linked = 100 * i >= percent * (n + m - i)
+    lost = np.ones(n, dtype=bool)
+    lost[at[common]] = False
+    differ = np.concatenate([b[~common], a[lost]])
+    differ = differ[np.lexsort((differ, often[(differ % X.U(len(often))).astype(np.int64)]))]  # one order for all, the rarest first
+    d, c, q = len(differ), (100 - percent) / (100 + percent), percent / 100
+    short = d - int(np.ceil((d + c * (n - m)) / 2 - 1e-9)) + 1
+    long = 0 if linked else d - max(1, int(np.ceil(d - c * m * (1 + 1 / q) - 1e-9))) + 1
+    return linked, differ[: max(short, 0)], differ[: max(long, 0)]
+
+
+def _sets_of(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Full sets (id, s) of the documents in pairs (u, v)."""
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(ids, "id", "left_semi")
-    sets = materialize(shingle_sets(wanted, "id", "t", shingle), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
+    return materialize(shingle_sets(wanted, "id", "t", shingle), "sets").where(F.size("s") > 0)
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (u, v, ...) with the sets a of u and b of v."""
+    return pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """Those pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
+    both = _with_sets(pairs, _sets_of(pairs, docs, id_col, text_col, shingle))
     n, m, i = F.size("a"), F.size("b"), F.size(F.array_intersect("a", "b"))
-    fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (n > 0) & (m > 0)
-    return both.where(fits).where(100 * i >= percent * (n + m - i)).select("u", "v").distinct()
+    return both.where(100 * F.least(n, m) >= percent * F.greatest(n, m)).where(100 * i >= percent * (n + m - i)).select("u", "v").distinct()
+
+
+def rarities(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur, by hash modulo ORDER; what is rarer than 4 counts as 0."""
+    hashes = sets.select(F.explode("s").alias("t")).select(F.pmod("t", F.lit(ORDER)).alias("t"))
+    counts = hashes.groupBy("t").count().where("count >= 4").toArrow()  # ORDER rows at most
+    often = np.zeros(ORDER, dtype=np.int32)
+    often[np.asarray(counts.column("t"), dtype=np.int64)] = np.minimum(np.asarray(counts.column("count")), 1 << 30)
+    return often
+
+
+def _plain_prefixes(sets: DataFrame, percent: int, ship: object) -> DataFrame:
+    """(v, t): the rarest shingles of each set, as many as a link must not leave all out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = ship.value
+        for b in batches:
+            flat, n = np.asarray(b.column(1).flatten()).view(X.U), np.asarray(b.column(1).value_lengths())
+            ends, parts = np.cumsum(n), []
+            for i, k in enumerate(n):
+                x = flat[ends[i] - k : ends[i]]
+                parts.append(x[np.lexsort((x, often[(x % X.U(ORDER)).astype(np.int64)]))][: k + (-percent * int(k)) // 100 + 1])
+            took = np.array([len(x) for x in parts], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), took))), pa.array(X.i64(np.concatenate([np.zeros(0, dtype=X.U), *parts])))], names=["v", "t"])
+
+    return sets.select(F.col("id").alias("v"), "s").mapInArrow(run, "v long, t long")
+
+
+def judged(pairs: DataFrame, sets: DataFrame, percent: int, ship: object) -> DataFrame:
+    """(u, v, linked, short, long) of pairs (u, v, family): the prefixes are empty where family is false."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            us, vs = (np.asarray(b.column(k).flatten()).view(X.U) for k in (3, 4))  # the order they were sorted in
+            ue, ve = (np.cumsum(np.asarray(b.column(k).value_lengths())) for k in (3, 4))
+            got = [_prefixes(us[0 if not r else ue[r - 1] : ue[r]], vs[0 if not r else ve[r - 1] : ve[r]], percent, ship.value) for r in range(b.num_rows)]
+            keep = np.asarray(b.column(2))
+            lists = []
+            for k in (1, 2):
+                parts = [g[k] if f else g[k][:0] for g, f in zip(got, keep, strict=True)]
+                lists.append(_lists(X.i64(np.concatenate([np.zeros(0, dtype=X.U), *parts])), np.array([len(x) for x in parts], dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.bool_()), *lists], names=["u", "v", "linked", "short", "long"])
+
+    both = _with_sets(pairs, sets).select("u", "v", "family", "a", "b")  # ship: broadcast rarities
+    return both.mapInArrow(run, "u long, v long, linked boolean, short array<long>, long array<long>")
+
+
+def within_families(tried: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, ship: object) -> DataFrame:
+    """Pairs (u, v) of different classes that may link though neither is the other's head.
+
+    All docs that share a key lie in the family of that key's least id, the head. Two exact prefix
+    joins find what may link. Where at least half of a family links with its head, a doc stands for
+    its symmetric difference from the head; two docs differ by the difference of those. With
+    c = (1 - q) / (1 + q) for similarity q, a link needs |x ^ y| <= c (|x| + |y|), while a doc that
+    doesn't link with the head differs from it by more than c (|y| + |head|): together they bound from
+    below what both differences share, so their first elements, as many as the bound leaves, meet.
+    Docs of other families are akin by a passage and otherwise unlike: of their plain sets, links must
+    share q of the larger, so their rarest elements meet. Rarest first, docs seldom meet for less.
+    """
+    c = comp.withColumnsRenamed({"node": "v", "component": "c"})
+    rows = tried.where(F.size("short") + F.size("long") > 0).join(c, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    kind = rows.groupBy("u").agg(F.min("c").alias("x"), F.max("c").alias("y"), (2 * F.sum(F.col("linked").cast("int")) >= F.count("*")).alias("close")).where("x <> y").select("u", "close")
+    rows = materialize(rows.join(kind, "u"), "families")
+    near = rows.where("close").select("u", "v", "c", "linked", F.explode("short").alias("t"))
+    long = rows.where("close").select("u", F.col("v").alias("w"), F.col("c").alias("d"), F.explode("long").alias("t"))
+    apart = near.where("NOT linked").select("u", F.col("v").alias("w"), F.col("c").alias("d"), "t")
+    meet = near.where("linked").join(long, ["u", "t"]).union(near.where("NOT linked").join(apart, ["u", "t"]).where("v < w")).where("c <> d").select("v", "w")
+    loose = rows.where("NOT close").select("v", "c").distinct()
+    plain = _plain_prefixes(sets.join(loose.select(F.col("v").alias("id")), "id", "left_semi"), percent, ship).join(loose, "v")
+    mixed = plain.groupBy("t").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("t")
+    plain = plain.join(mixed, "t", "left_semi")
+    meet = meet.union(plain.join(plain.withColumnsRenamed({"v": "w", "c": "d"}), "t").where("v < w AND c <> d").select("v", "w"))
+    return meet.select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v")).distinct()
 
 
 def near_duplicates(
@@ -155,10 +253,9 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id, kept (it is the least id of its class).
 
-    A bucket (the ids that share a key) is compared with its least member first. Where that leaves
-    several classes in a bucket, up to PIVOTS members of its smallest classes are compared with all
-    members of its other classes and leave it, round by round until each bucket holds one class: so
-    no pair that shares a key is lost, and a round emits rows in proportion to the bucket.
+    The ids that share a key are compared with the least of them, its head; links between others are
+    then sought by within_families, so that no pair that shares a key is lost and none is enumerated
+    for sharing keys alone.
     """
     sigs = materialize(signatures(docs, id_col, text_col, shingle, bands, rows, seed), "sigs")
     real = sigs.where("n > 0 AND id IS NOT NULL")
@@ -167,39 +264,18 @@ def near_duplicates(
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     live = materialize(keys.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, head long, id long"), "live")
     copies = real.join(classes.select("h1", "h2", "head"), ["h1", "h2"]).where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
-    pairs = materialize(live.select(F.col("head").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
-    links = materialize(confirmed(pairs, docs, id_col, text_col, shingle, percent).union(copies), "links")
+    several = live.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    sized = live.join(several, "key", "left").groupBy(F.col("head").alias("u"), F.col("id").alias("v")).agg(F.max(F.col("k").isNotNull()).alias("family"))
+    sized = materialize(sized, "pairs")
+    sets = _sets_of(sized, docs, id_col, text_col, shingle)
+    ship = docs.sparkSession.sparkContext.broadcast(rarities(sets))
+    tried = materialize(judged(sized, sets, percent, ship), "tried")
+    links = materialize(tried.where("linked").select("u", "v").union(copies), "links")
     comp = materialize(star_components(links, "u", "v"), "comp")
-    rest: DataFrame | None = None
-    while True:
-        if rest is None:  # buckets in which some member is not yet in the class of the least
-            c = comp.withColumnsRenamed({"node": "id", "component": "c"})
-            named = live.join(c, "id", "left").join(comp.withColumnsRenamed({"node": "head", "component": "hc"}), "head", "left")
-            mixed = named.where(F.coalesce("c", "id") != F.coalesce("hc", "head")).select("key").distinct()
-            open_ = live.join(mixed, "key", "left_semi")
-            members = open_.select("key", "id")  # the least was compared with all and leaves
-        else:
-            members = rest
-        members = members.join(comp.withColumnsRenamed({"node": "id", "component": "c"}), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-        by_class = members.groupBy("key", "c").agg(F.count("*").alias("n"))
-        several = by_class.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-        state = materialize(members.join(several, "key", "left_semi").join(by_class, ["key", "c"]), "open")
-        if state.isEmpty():
-            discard(state)
-            break
-        from pyspark.sql import Window
-
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "c", "id"))
-        pivots = materialize(state.withColumn("r", rank).where(F.col("r") <= PIVOTS).select("key", F.col("id").alias("p"), F.col("c").alias("pc")), "pivots")
-        tried = state.join(pivots, "key").where("c <> pc").select(F.least("id", "p").alias("u"), F.greatest("id", "p").alias("v")).distinct()
-        new = materialize(tried.join(pairs, ["u", "v"], "left_anti"), "pairs")
-        found = confirmed(new, docs, id_col, text_col, shingle, percent)
-        links2 = materialize(links.union(found), "links")
-        rest = materialize(state.select("key", "id").join(pivots.select("key", F.col("p").alias("id")), ["key", "id"], "left_anti"), "rest")
-        comp2 = materialize(star_components(links2, "u", "v"), "comp")
-        pairs2 = materialize(pairs.union(new), "pairs")
-        discard(state, pivots, new, links, comp, pairs)
-        links, comp, pairs = links2, comp2, pairs2
+    more = materialize(within_families(tried, comp, sets, percent, ship), "more")
+    if not more.isEmpty():
+        found = confirmed(more, docs, id_col, text_col, shingle, percent)
+        comp = star_components(links.union(found), "u", "v")
     out = sigs.select("id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(
