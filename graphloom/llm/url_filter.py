@@ -17,13 +17,15 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.scratch import materialize
+
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Words of host labels whose sites are known to be unwanted; URLs that hold one are labelled block.
 SEEDS = ("adult", "ads", "bets", "casino", "spam", "track")
 #: Labelled urls of either kind that rules are mined from, chosen by hash.
 SAMPLE = 20_000
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_RULES = 0.005, 0.95, 5_000
+MIN_SUPPORT, MIN_CONFIDENCE, MAX_RULES, MAX_TOKENS = 0.001, 0.95, 5_000, 4
 BLOCK, ALLOW = "label=block", "label=allow"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,7 +55,11 @@ def tokens_of(url: Column) -> Column:
     parts = F.filter(F.split(host, r"[.\-]"), lambda x: x != "")
     steps = F.filter(F.split(F.lower(path), "/"), lambda x: (x != "") & ~x.rlike("^[0-9]"))
     query = F.transform(F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q="), F.substring_index(x, "=", 1)))
-    tagged = [F.transform(a, lambda x, t=t: F.concat(F.lit(t), x)) for t, a in (("h=", labels), ("w=", parts), ("p=", steps))]
+
+    def tag(name: str, words: Column) -> Column:
+        return F.transform(words, lambda x: F.concat(F.lit(name), x))
+
+    tagged = [tag("h=", labels), tag("w=", parts), tag("p=", steps)]
     scheme = F.array(F.concat(F.lit("s="), F.lower(F.substring_index(url, "://", 1))))
     return F.when(url.contains("://"), F.array_distinct(F.concat(*tagged, query, scheme))).otherwise(F.array().cast("array<string>"))
 
@@ -72,11 +78,14 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     baskets = both[0].union(both[1]).select(F.array_append(tokens_of(F.col("url")), F.concat(F.lit("label="), "label")).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
     rules = found.where(F.array_contains("consequent", BLOCK)).where(~F.array_contains("antecedent", ALLOW))
-    rules = rules.select(F.sort_array("antecedent").alias("tokens"), F.size("antecedent").alias("n"), "confidence")
+    rules = rules.select(F.sort_array("antecedent").alias("tokens"), F.size("antecedent").alias("n"), "confidence").where(F.col("n") <= MAX_TOKENS)
     rules = rules.orderBy(F.desc("confidence"), "n", "tokens").limit(MAX_RULES)
-    part = rules.withColumn("t", F.explode("tokens"))
-    less = rules.select(F.col("tokens").alias("lt"), F.col("n").alias("ln"), F.col("confidence").alias("lc"), F.explode("tokens").alias("t"))
-    covered = part.join(less, "t").where("ln < n AND lc >= confidence").groupBy("tokens", "lt", "ln").agg(F.count("*").alias("k")).where("k = ln").select("tokens").distinct()
+    rules = materialize(rules, "rules")
+    # all proper parts of each rule, at most 2 ** MAX_TOKENS of them, looked up among the rules
+    none = F.array(F.array().cast("array<string>"))
+    parts = F.aggregate("tokens", none, lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.array_append(s, x))))
+    part = rules.select(F.col("tokens").alias("whole"), F.col("confidence").alias("c"), "n", F.explode(parts).alias("tokens")).where("size(tokens) BETWEEN 1 AND n - 1")
+    covered = part.join(rules.select("tokens", "confidence"), "tokens").where("confidence >= c").select(F.col("whole").alias("tokens")).distinct()
     return rules.join(covered, "tokens", "left_anti").select(F.xxhash64("tokens").alias("rule"), "tokens", "n", "confidence")
 
 
