@@ -25,6 +25,9 @@ from graphloom.llm import textops as X
 from graphloom.operators.components import star_components
 from graphloom.plans.scratch import materialize
 
+#: Keys that an id must share with a head. A pair of similarity 0.8 shares 38 on average, and fewer than 3 with
+#: probability 0.0004, of which 0.0003 is that of none; unlike pairs seldom share more than one.
+MIN_KEYS = 3
 #: Counters of shingle hashes that order the elements of differences, rarest first; their precision affects speed alone.
 ORDER = 1 << 19
 
@@ -254,8 +257,7 @@ def near_duplicates(
     """One row per document: id_col, n_shingles, component_id, kept (it is the least id of its class).
 
     The ids that share a key are compared with the least of them, its head; links between others are
-    then sought by within_families, so that no pair that shares a key is lost and none is enumerated
-    for sharing keys alone.
+    then sought by within_families, so that pairs are not enumerated for sharing keys alone.
     """
     sigs = materialize(signatures(docs, id_col, text_col, shingle, bands, rows, seed), "sigs")
     real = sigs.where("n > 0 AND id IS NOT NULL")
@@ -265,7 +267,7 @@ def near_duplicates(
     live = materialize(keys.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, head long, id long"), "live")
     copies = real.join(classes.select("h1", "h2", "head"), ["h1", "h2"]).where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
     several = live.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    sized = live.join(several, "key", "left").groupBy(F.col("head").alias("u"), F.col("id").alias("v")).agg(F.max(F.col("k").isNotNull()).alias("family"))
+    sized = live.join(several, "key", "left").groupBy(F.col("head").alias("u"), F.col("id").alias("v")).agg(F.max(F.col("k").isNotNull()).alias("family"), F.count("*").alias("shared")).where(F.col("shared") >= MIN_KEYS).drop("shared")
     sized = materialize(sized, "pairs")
     sets = _sets_of(sized, docs, id_col, text_col, shingle)
     ship = docs.sparkSession.sparkContext.broadcast(rarities(sets))
