@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textops as X
+from graphloom.llm.idfilter import bloom, split_by
 from graphloom.operators.components import star_components
 from graphloom.plans.scratch import materialize
 
@@ -162,8 +163,10 @@ def _prefixes(a: np.ndarray, b: np.ndarray, percent: int, often: np.ndarray) ->
 def _sets_of(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """Full sets (id, s) of the documents in pairs (u, v)."""
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(ids, "id", "left_semi")
-    return materialize(shingle_sets(wanted, "id", "t", shingle), "sets").where(F.size("s") > 0)
+    ids = materialize(ids, "ids")
+    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    some, _ = split_by(wanted, bloom(ids), "id")  # so sets are shuffled, not the texts of all documents
+    return materialize(shingle_sets(some, "id", "t", shingle).join(ids, "id", "left_semi"), "sets").where(F.size("s") > 0)
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
