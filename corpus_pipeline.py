@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, near_dedup, packing, quality, secrets
+from graphloom.llm import decontaminate, idfilter, near_dedup, packing, quality, secrets
 from graphloom.plans.scratch import materialize
 
 
@@ -23,8 +23,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of the least id; of rows that repeat an id, one."""
     judged = materialize(near_dedup.near_duplicates(docs, shingle=5, percent=80), "judged")
-    gone = judged.where("NOT kept").select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialize(judged.where("NOT kept").select("doc_id").distinct(), "gone")
+    may, safe = idfilter.split_by(docs, idfilter.bloom(gone, "doc_id"), "doc_id")  # only the former's texts are shuffled
+    stay = safe.union(may.join(gone, "doc_id", "left_anti").select(*docs.columns))
     again = judged.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return stay
