@@ -28,7 +28,7 @@ from graphloom.plans.scratch import materialize
 
 CAPACITY, END = 1024, 2
 #: Lengths from which patterns are enumerated in one round, and rounds at most.
-LENGTHS, ROUNDS = 64, 12
+LENGTHS, ROUNDS = 160, 12
 
 Pattern = tuple[tuple[int, ...], int]
 
