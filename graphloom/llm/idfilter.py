@@ -53,6 +53,7 @@ def may_hold(words: np.ndarray, col: pa.Array) -> np.ndarray:
 
 def split_by(df: DataFrame, words: np.ndarray, id_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose id may be in the filter, and those whose id is not; both keep df's columns."""
+    X.small_batches(df.sparkSession)
     ship = df.sparkSession.sparkContext.broadcast(words)
     at = df.columns.index(id_col)
 

@@ -262,6 +262,7 @@ def near_duplicates(
     The ids that share a key are compared with the least of them, its head; links between others are
     then sought by within_families, so that pairs are not enumerated for sharing keys alone.
     """
+    X.small_batches(docs.sparkSession)
     sigs = materialize(signatures(docs, id_col, text_col, shingle, bands, rows, seed), "sigs")
     real = sigs.where("n > 0 AND id IS NOT NULL")
     classes = materialize(real.groupBy("h1", "h2").agg(F.min("id").alias("head"), F.first("bands").alias("bands")), "exact")

@@ -95,6 +95,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, paths: tuple, capacity
                 names = ["piece", "start", "length", "ids_crc32", "part", "nth", "ids"]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(cols, types, strict=False))], names=["id", *names[: len(cols)]])
 
+    X.small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     kind = dict(base.dtypes)["id"]
     return base.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids)

@@ -174,6 +174,7 @@ NAMES = ("lang", "source", "n_chars", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", names: tuple[str, str, str, str] = NAMES) -> Model | None:
+    X.small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     order = (F.xxhash64("id", F.lit(23)), F.col("id"))
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
@@ -197,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
 
 def score(docs: DataFrame, model: Model | None, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
     """docs with quality_score, text_score and metadata_score."""
+    X.small_batches(docs.sparkSession)
     ship = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
     new = ["quality_score", "text_score", "metadata_score"]
     if taken := set(new) & set(docs.columns):

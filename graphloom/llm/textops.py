@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 from xxhash import xxh64_intdigest
 
 U = np.uint64
@@ -13,6 +14,17 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INV = pow(_BASE, -1, 1 << 64)
 
 
+#: Rows of an Arrow batch of texts at most, so that a worker holds a few megabytes of them.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of Arrow batches for operators that read whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fmix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit words."""
     h = h ^ (h >> U(33))
