@@ -15,7 +15,7 @@ _INV = pow(_BASE, -1, 1 << 64)
 
 
 #: Rows of an Arrow batch of texts at most, so that a worker holds a few megabytes of them.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -49,7 +49,7 @@ def split_lower(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def chunks(texts: list[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about limit bytes together; a longer document is a range of its own."""
     a = total = 0
     for i, t in enumerate(texts):
