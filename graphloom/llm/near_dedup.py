@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textops as X
@@ -31,6 +31,8 @@ from graphloom.plans.scratch import materialize
 MIN_KEYS = 3
 #: Counters of shingle hashes that order the elements of differences, rarest first; their precision affects speed alone.
 ORDER = 1 << 19
+#: 64-bit words of a set's parity map. The maps of two sets differ in no more bits than the sets in elements.
+MAP_WORDS = 16
 
 
 def _sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,21 +55,38 @@ def _sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.bincount(d, minlength=len(texts)).astype(np.int64)
 
 
+def _parities(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The parity map of each set: bit k tells whether an odd number of its hashes fall on k."""
+    bits = MAP_WORDS * 64
+    rows = np.repeat(np.arange(len(counts)), counts)
+    odd = np.bincount(rows * bits + (h % X.U(bits)).astype(np.int64), minlength=len(counts) * bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_link(percent: int, bits: tuple[str, str], n: tuple[str, str]) -> Column:
+    """False only for sets that differ in more than a link of percent allows, by their maps and sizes."""
+    differ = sum((F.bit_count(F.col(bits[0])[i].bitwiseXOR(F.col(bits[1])[i])) for i in range(1, MAP_WORDS)), F.bit_count(F.col(bits[0])[0].bitwiseXOR(F.col(bits[1])[0])))
+    total = F.col(n[0]) + F.col(n[1])
+    near = (100 + percent) * F.abs(F.col(n[0]) - F.col(n[1])) <= (100 - percent) * total
+    return near & ((100 + percent) * differ <= (100 - percent) * total)
+
+
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, s): sorted distinct 64-bit shingle hashes of each text."""
+    """(id, s, n, bits): sorted distinct 64-bit shingle hashes of each text, how many, and their parity map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = X.as_bytes(b.column(1))
             for lo, hi in X.chunks(texts):
                 h, n = _sets(texts[lo:hi], shingle)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), _lists(X.i64(h), n)], names=["id", "s"])
+                bits = _lists(_parities(h, n), np.full(hi - lo, MAP_WORDS))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), _lists(X.i64(h), n), pa.array(n), bits], names=["id", "s", "n", "bits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, s array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, s array<long>, n long, bits array<long>")
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: tuple[int, int], rows: tuple[int, int], seed: int) -> DataFrame:
@@ -191,7 +210,7 @@ def rarities(sets: DataFrame) -> np.ndarray:
 
 
 def _plain_prefixes(sets: DataFrame, percent: int, ship: object) -> DataFrame:
-    """(v, t): the rarest shingles of each set, as many as a link must not leave all out."""
+    """(v, n, bits, t): the rarest shingles of each set, as many as a link must not leave all out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = ship.value
@@ -202,9 +221,11 @@ def _plain_prefixes(sets: DataFrame, percent: int, ship: object) -> DataFrame:
                 x = flat[ends[i] - k : ends[i]]
                 parts.append(x[np.lexsort((x, often[(x % X.U(ORDER)).astype(np.int64)]))][: k + (-percent * int(k)) // 100 + 1])
             took = np.array([len(x) for x in parts], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), took))), pa.array(X.i64(np.concatenate([np.zeros(0, dtype=X.U), *parts])))], names=["v", "t"])
+            at = pa.array(np.repeat(np.arange(len(n)), took))
+            own = [b.column(k).take(at) for k in (0, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(X.i64(np.concatenate([np.zeros(0, dtype=X.U), *parts])))], names=["v", "n", "bits", "t"])
 
-    return sets.select(F.col("id").alias("v"), "s").mapInArrow(run, "v long, t long")
+    return sets.select(F.col("id").alias("v"), "s", "n", "bits").mapInArrow(run, "v long, n long, bits array<long>, t long")
 
 
 def judged(pairs: DataFrame, sets: DataFrame, percent: int, ship: object) -> DataFrame:
@@ -237,20 +258,25 @@ def within_families(tried: DataFrame, comp: DataFrame, sets: DataFrame, percent:
     below what both differences share, so their first elements, as many as the bound leaves, meet.
     Docs of other families are akin by a passage and otherwise unlike: of their plain sets, links must
     share q of the larger, so their rarest elements meet. Rarest first, docs seldom meet for less.
+    Of docs that meet, may_link leaves out those whose parity maps prove that they differ by too much.
     """
     c = comp.withColumnsRenamed({"node": "v", "component": "c"})
     rows = tried.where(F.size("short") + F.size("long") > 0).join(c, "v", "left").withColumn("c", F.coalesce("c", "v"))
     kind = rows.groupBy("u").agg(F.min("c").alias("x"), F.max("c").alias("y"), (2 * F.sum(F.col("linked").cast("int")) >= F.count("*")).alias("close")).where("x <> y").select("u", "close")
-    rows = materialize(rows.join(kind, "u"), "families")
-    near = rows.where("close").select("u", "v", "c", "linked", F.explode("short").alias("t"))
-    long = rows.where("close").select("u", F.col("v").alias("w"), F.col("c").alias("d"), F.explode("long").alias("t"))
-    apart = near.where("NOT linked").select("u", F.col("v").alias("w"), F.col("c").alias("d"), "t")
-    meet = near.where("linked").join(long, ["u", "t"]).union(near.where("NOT linked").join(apart, ["u", "t"]).where("v < w")).where("c <> d").select("v", "w")
+    maps = sets.select(F.col("id").alias("v"), "n", "bits")
+    rows = materialize(rows.join(kind, "u").join(maps, "v"), "families")
+    other = {"v": "w", "c": "d", "n": "m", "bits": "map"}
+    may = may_link(percent, ("bits", "map"), ("n", "m")) & F.expr("c <> d")
+    near = rows.where("close").select("u", "v", "c", "n", "bits", "linked", F.explode("short").alias("t"))
+    long = rows.where("close").select("u", "v", "c", "n", "bits", F.explode("long").alias("t")).withColumnsRenamed(other)
+    apart = near.where("NOT linked").drop("linked").withColumnsRenamed(other)
+    meet = near.where("linked").join(long, ["u", "t"]).where(may).select("v", "w")
+    meet = meet.union(near.where("NOT linked").join(apart, ["u", "t"]).where(may & F.expr("v < w")).select("v", "w"))
     loose = rows.where("NOT close").select("v", "c").distinct()
     plain = _plain_prefixes(sets.join(loose.select(F.col("v").alias("id")), "id", "left_semi"), percent, ship).join(loose, "v")
     mixed = plain.groupBy("t").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("t")
     plain = plain.join(mixed, "t", "left_semi")
-    meet = meet.union(plain.join(plain.withColumnsRenamed({"v": "w", "c": "d"}), "t").where("v < w AND c <> d").select("v", "w"))
+    meet = meet.union(plain.join(plain.withColumnsRenamed(other), "t").where(may & F.expr("v < w")).select("v", "w"))
     return meet.select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v")).distinct()
 
 
