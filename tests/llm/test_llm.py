@@ -274,3 +274,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert clean | set(more) <= seen[0] and not seen[0] & set(range(200, 280))
     assert seen[1] == seen[0] - {301} and seen[2] == seen[1] - {302} and seen[3] == seen[2] == seen[4]
     assert [r.doc_id for r in masked] == [303] and masked[0].n_chars == len(masked[0].text)
+
+
+def test_parity_maps_never_rule_out_a_link(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for size in (1, 2, 9, 10, 150, 3000):
+        base = rng.integers(0, 1 << 63, size, dtype=np.int64).astype(np.uint64)
+        for share in (0, 0.05, 0.1, 0.12, 0.2, 0.4):
+            k = int(size * share)
+            h = np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 63, k, dtype=np.int64).astype(np.uint64)]))
+            bits = near_dedup._parities(h, np.array([len(h)]))
+            rows.append((len(rows), [int(x) for x in h], len(h), [int(x) for x in bits.ravel()]))
+    a = spark.createDataFrame(rows, "v long, s array<long>, n long, bits array<long>")
+    b = a.withColumnsRenamed({"v": "w", "s": "z", "n": "m", "bits": "map"})
+    both = a.join(b, F.col("v") != F.col("w")).withColumn("may", near_dedup.may_link(80, ("bits", "map"), ("n", "m")))
+    got = {(r.v, r.w) for r in both.where("may").select("v", "w").collect()}
+    links = set()
+    for v, x, *_ in rows:
+        for w, y, *_ in rows:
+            i = len(set(x) & set(y))
+            if v != w and 100 * i >= 80 * (len(x) + len(y) - i):
+                links.add((v, w))
+    assert links and links <= got
+    assert len(got) < 2 * len(links)
