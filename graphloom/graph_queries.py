@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, co_purchase, geography, trade
 from graphloom.operators import algebra as A
+from graphloom.operators import distances as X
 from graphloom.operators import iterative as I
 from graphloom.operators import partitions as P
 from graphloom.operators import similarity as L
@@ -146,6 +147,15 @@ _simple("community_label_propagation", strong, I.label_propagation, None)
 _simple("matching_greedy", strong, I.greedy_matching, None)
 _simple("components_spanning_forest", strong, I.spanning_forest, None)
 
+_HOPS = ", h AS (SELECT id AS a, id AS b, 0 AS k FROM v UNION SELECT h.a, s.v, k + 1 FROM h JOIN s ON s.u = h.b WHERE k < 4), hd AS (SELECT a, b, min(k) AS k FROM h GROUP BY 1, 2)"  # regions are stars
+_simple("distance_all_pairs", geography, lambda g: X.distances(g).drop("paths"), GEO + _HOPS + " SELECT a AS source, b AS node, k AS distance FROM hd")
+_simple("centrality_closeness_generalized", geography, lambda g: X.closeness(g, generalized=True), GEO + _HOPS + " SELECT a AS node, CASE WHEN sum(k) > 0 THEN (count(*) - 1) * (count(*) - 1) / CAST(sum(k) AS DOUBLE) / ((SELECT count(*) FROM v) - 1) ELSE 0.0 END AS score FROM hd GROUP BY 1")
+_simple("centrality_harmonic_closeness", geography, X.harmonic_closeness, GEO + _HOPS + " SELECT a AS node, sum(CASE WHEN k > 0 THEN 1.0 / k ELSE 0.0 END) / CAST((SELECT count(*) FROM v) - 1 AS DOUBLE) AS score FROM hd GROUP BY 1")
+_simple("distance_eccentricity", geography, X.eccentricity, GEO + _HOPS + " SELECT a AS node, max(k) AS eccentricity FROM hd GROUP BY 1")
+_simple("distance_diameter", geography, X.diameter, GEO + _HOPS + " SELECT max(k) AS diameter, min(k) AS radius FROM (SELECT max(k) AS k FROM hd GROUP BY a)")
+_simple("distance_distribution", geography, X.distance_distribution, GEO + _HOPS + " SELECT k AS distance, count(*) AS pairs FROM hd WHERE k > 0 GROUP BY 1")
+_simple("centrality_betweenness", geography, X.betweenness, None)
+
 
 @query("dynamics_replay", "WITH x AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events) SELECT user_id AS u, event_id % 20 AS v, CAST(count(*) AS DOUBLE) AS w FROM x GROUP BY 1, 2")
 def dynamics_replay(spark, sf_dir) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
 from graphloom.operators import algebra as A
+from graphloom.operators import distances as X
 from graphloom.operators import iterative as I
 from graphloom.operators import partitions as P
 from graphloom.operators import similarity as L
@@ -137,3 +138,28 @@ def test_entry_module_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+T6 = [(0, 2), (1, 2), (2, 3), (2, 4), (3, 5), (4, 5)]
+
+
+def test_betweenness_golden(spark):
+    got = values(X.betweenness(graph(spark, T6, n=6)))
+    assert [got[i] for i in range(6)] == pytest.approx([0, 0, 15, 3, 3, 1])
+    got = values(X.betweenness(graph(spark, T6, n=6), normalized=True))
+    assert [got[i] for i in range(6)] == pytest.approx([x / 20 for x in (0, 0, 15, 3, 3, 1)])
+    got = values(X.betweenness(graph(spark, [(0, 1), (1, 2), (2, 0), (2, 3)], directed=True)))
+    assert got == {0: 1, 1: 2, 2: 3, 3: 0}  # 0-2, 0-3 by 1; 0-3, 1-0, 1-3 by 2; 2-1 by 0
+
+
+def test_closeness_and_eccentricity(spark):
+    g = graph(spark, T6, n=6)
+    got = values(X.closeness(g))
+    assert [got[i] for i in range(6)] == pytest.approx([0.1, 0.1, 1 / 6, 0.125, 0.125, 0.1])
+    apart = graph(spark, [(0, 1), (1, 2), (4, 5)], n=7)
+    assert values(X.closeness(apart, generalized=True)) == pytest.approx({0: 4 / 18, 1: 4 / 12, 2: 4 / 18, 3: 0, 4: 1 / 6, 5: 1 / 6, 6: 0})
+    assert values(X.harmonic_closeness(apart, normalized=False)) == pytest.approx({0: 1.5, 1: 2, 2: 1.5, 3: 0, 4: 1, 5: 1, 6: 0})
+    assert values(X.eccentricity(apart), value="eccentricity") == {0: 2, 1: 1, 2: 2, 3: 0, 4: 1, 5: 1, 6: 0}
+    assert X.diameter(g).first().asDict() == {"diameter": 3, "radius": 2}
+    assert values(X.distance_distribution(apart), "distance", "pairs") == {1: 6, 2: 2}
+    assert X.betweenness(graph(spark, [])).count() == X.closeness(graph(spark, [])).count() == 0
