@@ -63,6 +63,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id: r.n_shingles for r in got}[900] == 0
 
 
+def test_links_whose_keys_have_many_heads(spark):
+    """40 pairs of the greatest ids in a family of 600 related documents: the keys of a pair go to many heads, few to each."""
+    rng = np.random.default_rng(7)
+    draw = lambda: [f"w{j}" for j in rng.choice(200, 95, replace=False)]
+    rows = [(i, " ".join(draw())) for i in range(600)]
+    for i in range(600, 680, 2):
+        own = draw()
+        rows += [(i, " ".join(own)), (i + 1, " ".join(own[7:] + [f"r{i}x{j}" for j in range(7)]))]
+    sets = [(i, set(t.split())) for i, t in rows]
+    want = {(i, j) for i, a in sets for j, b in sets if i < j and 100 * len(a & b) >= 80 * len(a | b)}
+    got = near_dedup.near_duplicates(docs_of(spark, rows), shingle=1, bands=(6, 6), rows=(2, 2)).where("doc_id <> component_id").collect()
+    assert len(want) == 40 and {(r.component_id, r.doc_id) for r in got} == want
+
+
 def test_prefix_bounds_lose_no_link():
     for _ in range(300):
         p = np.unique(RNG.integers(0, 400, 80).astype(np.uint64))
