@@ -163,3 +163,34 @@ def test_closeness_and_eccentricity(spark):
     assert X.diameter(g).first().asDict() == {"diameter": 3, "radius": 2}
     assert values(X.distance_distribution(apart), "distance", "pairs") == {1: 6, 2: 2}
     assert X.betweenness(graph(spark, [])).count() == X.closeness(graph(spark, [])).count() == 0
+
+
+@pytest.fixture
+def whole_trade(spark, tmp_path):
+    """Tables whose trade graph has 9 arcs, and those arcs: one order, customer and supplier per lineitem."""
+    arcs = {(0, 1): 2, (1, 2): 1, (0, 2): 4, (2, 3): 1, (3, 0): 1, (3, 4): 2, (4, 5): 1, (5, 4): 3, (0, 5): 9}
+    lines = [a for a, n in arcs.items() for _ in range(n)]
+    k = range(len(lines))
+    tables = {
+        "lineitem": ("l_orderkey long, l_suppkey long", [(i, i) for i in k]), "orders": ("o_orderkey long, o_custkey long", [(i, i) for i in k]),
+        "customer": ("c_custkey long, c_nationkey int", [(i, lines[i][0]) for i in k]), "supplier": ("s_suppkey long, s_nationkey int", [(i, lines[i][1]) for i in k]),
+        "nation": ("n_nationkey int", [(i,) for i in range(7)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path), arcs
+
+
+def test_paths_and_strong_components_of_all_trade(spark, whole_trade):
+    import __spark_entry__ as e
+
+    sf, arcs = whole_trade
+    far = {(a, b): 0.0 if a == b else float(arcs.get((a, b), math.inf)) for a in range(7) for b in range(7)}
+    for k in range(7):
+        for a in range(7):
+            for b in range(7):
+                far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+    got = values(e.queries()["distance_sssp_trade"](spark, sf), value="distance")
+    assert got == {b: far[0, b] for b in range(7) if far[0, b] < math.inf}
+    strong = {a: min(b for b in range(7) if far[a, b] < math.inf and far[b, a] < math.inf) for a in range(7)}
+    assert values(e.queries()["components_strong_trade"](spark, sf), value="component") == strong
