@@ -169,6 +169,14 @@ _simple("distance_eccentricity", geography, X.eccentricity, GEO + _HOPS + " SELE
 _simple("distance_diameter", geography, X.diameter, GEO + _HOPS + " SELECT max(k) AS diameter, min(k) AS radius FROM (SELECT max(k) AS k FROM hd GROUP BY a)")
 _simple("distance_distribution", geography, X.distance_distribution, GEO + _HOPS + " SELECT k AS distance, count(*) AS pairs FROM hd WHERE k > 0 GROUP BY 1")
 _simple("centrality_betweenness", geography, X.betweenness, None)
+# Geography is a forest of 30 nodes. The same measures of all strong co-purchases, which are too many walks for SQL.
+_simple("components_connected_strong", strong, I.connected_components, None)
+_simple("distance_eccentricity_strong", strong, X.eccentricity, None)
+_simple("distance_distribution_strong", strong, X.distance_distribution, None)
+_simple("distance_diameter_strong", strong, X.diameter, None)
+_simple("centrality_closeness_strong", strong, lambda g: X.closeness(g, generalized=True), None)
+_simple("centrality_harmonic_closeness_strong", strong, X.harmonic_closeness, None)
+_simple("centrality_betweenness_strong", strong, X.betweenness, None)
 
 
 @query("dynamics_replay", "WITH x AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events) SELECT user_id AS u, event_id % 20 AS v, CAST(count(*) AS DOUBLE) AS w FROM x GROUP BY 1, 2")

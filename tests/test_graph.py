@@ -194,3 +194,33 @@ def test_paths_and_strong_components_of_all_trade(spark, whole_trade):
     assert got == {b: far[0, b] for b in range(7) if far[0, b] < math.inf}
     strong = {a: min(b for b in range(7) if far[a, b] < math.inf and far[b, a] < math.inf) for a in range(7)}
     assert values(e.queries()["components_strong_trade"](spark, sf), value="component") == strong
+
+
+def test_path_measures_of_strong_co_purchases(spark, tmp_path):
+    import __spark_entry__ as e
+
+    edges = [(1, 2), (2, 3), (3, 4), (4, 1), (4, 5), (6, 7)]  # a cycle, so that shortest paths aren't unique
+    rows = [(2 * k + r, p) for k, ends in enumerate([*edges, (5, 6)]) for r in range(2 if k < len(edges) else 1) for p in ends]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i,) for i in range(1, 9)], "p_partkey long").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    nodes = range(1, 9)
+    far = {(a, b): 0 if a == b else 1 if (a, b) in edges or (b, a) in edges else math.inf for a in nodes for b in nodes}
+    for k in nodes:
+        for a in nodes:
+            for b in nodes:
+                far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+    paths = {(a, a): 1 for a in nodes}
+    for a, b in sorted(far, key=far.get):
+        if 0 < far[a, b] < math.inf:
+            paths[a, b] = sum(paths[a, c] for c in nodes if far[c, b] == 1 and far[a, c] + 1 == far[a, b])
+    met = {a: [far[a, b] for b in nodes if b != a and far[a, b] < math.inf] for a in nodes}
+    between = {c: sum(paths[a, c] * paths[c, b] / paths[a, b] for a in nodes for b in nodes if len({a, b, c}) == 3 and far[a, b] < math.inf and far[a, c] + far[c, b] == far[a, b]) for c in nodes}
+    run = lambda name, value="score", key="node": values(e.queries()[name](spark, str(tmp_path)), key, value)
+    assert run("components_connected_strong", "component") == {a: min(b for b in nodes if far[a, b] < math.inf) for a in nodes}
+    assert run("centrality_betweenness_strong") == pytest.approx(between)
+    assert run("centrality_closeness_strong") == pytest.approx({a: len(m) ** 2 / sum(m) / 7 if m else 0 for a, m in met.items()})
+    assert run("centrality_harmonic_closeness_strong") == pytest.approx({a: sum(1 / x for x in m) / 7 for a, m in met.items()})
+    assert run("distance_eccentricity_strong", "eccentricity") == {a: max(m, default=0) for a, m in met.items()}
+    flat = [x for m in met.values() for x in m]
+    assert run("distance_distribution_strong", "pairs", "distance") == {x: flat.count(x) for x in set(flat)}
+    assert e.queries()["distance_diameter_strong"](spark, str(tmp_path)).first().asDict() == {"diameter": 3, "radius": 0}
