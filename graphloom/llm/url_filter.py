@@ -25,7 +25,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 SEEDS = ("adult", "ads", "bets", "casino", "spam", "track")
 #: Labelled urls of either kind that rules are mined from, chosen by hash.
 SAMPLE = 20_000
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_RULES, MAX_TOKENS = 0.001, 0.95, 5_000, 4
+MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.001, 0.95, 4
 BLOCK, ALLOW = "label=block", "label=allow"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,13 +73,12 @@ def labelled_urls(urls: DataFrame, rules: tuple = RULES, seeds: tuple[str, ...]
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(rule, tokens, n, confidence): pruned token sets that imply block; at most MAX_RULES."""
+    """(rule, tokens, n, confidence): pruned sets of at most MAX_TOKENS tokens that imply block."""
     both = [labelled.where(F.col("label") == v).orderBy(F.xxhash64("url"), "url").limit(SAMPLE) for v in ("block", "allow")]
     baskets = both[0].union(both[1]).select(F.array_append(tokens_of(F.col("url")), F.concat(F.lit("label="), "label")).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
     rules = found.where(F.array_contains("consequent", BLOCK)).where(~F.array_contains("antecedent", ALLOW))
     rules = rules.select(F.sort_array("antecedent").alias("tokens"), F.size("antecedent").alias("n"), "confidence").where(F.col("n") <= MAX_TOKENS)
-    rules = rules.orderBy(F.desc("confidence"), "n", "tokens").limit(MAX_RULES)
     rules = materialize(rules, "rules")
     # all proper parts of each rule, at most 2 ** MAX_TOKENS of them, looked up among the rules
     none = F.array(F.array().cast("array<string>"))
@@ -91,7 +90,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, confidence): distinct urls that some rule holds for, by inverted index."""
-    index = F.broadcast(rules.select("rule", "n", "confidence", F.explode("tokens").alias("t")))  # MAX_RULES rules of few tokens
+    index = F.broadcast(rules.select("rule", "n", "confidence", F.explode("tokens").alias("t")))  # rules of few tokens, without those that others cover
     postings = urls.select("url").distinct().select("url", F.explode(tokens_of(F.col("url"))).alias("t"))
     held = postings.join(index, "t").groupBy("url", "rule", "n", "confidence").agg(F.count("*").alias("k")).where("k = n")
     return held.groupBy("url").agg(F.max("confidence").alias("confidence"))

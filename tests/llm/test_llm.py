@@ -266,6 +266,15 @@ def test_url_rules(spark):
     assert len(got) == len(rows) and all(got[100 + i].verdict == "block" for i in range(20)) and all(got[200 + i].verdict == "allow" for i in range(40))
 
 
+def test_covered_url_rules_push_none_out(spark):
+    """Over 5000 rules of confidence 1.0, all covered by single tokens, beside one of confidence 40 / 41."""
+    rows = [(f"http://k{k}.test/" + "/".join(f"s{k}x{j}" for j in range(7)) + f"/{i}", "block") for k in range(8) for i in range(5)]
+    rows += [(f"http://m.test/maybe/{i}", "block") for i in range(40)] + [("http://m.test/maybe/99", "allow")] + [(f"http://m.test/fine/{i}", "allow") for i in range(100)]
+    rules = url_filter.mine(spark.createDataFrame(rows, "url string, label string"))
+    assert {tuple(r.tokens): r.confidence for r in rules.collect()}[("p=maybe",)] == pytest.approx(40 / 41)
+    assert url_filter.matched(spark.createDataFrame([("http://m.test/maybe/7",), ("http://m.test/fine/7",)], "url string"), rules).count() == 1
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as C
 
