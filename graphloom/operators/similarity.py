@@ -42,7 +42,7 @@ def predict(g: Graph, pairs: DataFrame) -> DataFrame:
 
 
 def edge_scores(g: Graph) -> DataFrame:
-    """(src, dst, triangles, jaccard_distance, scan, chance_corrected) of every edge."""
+    """(src, dst, triangles, jaccard_distance, scan) of every edge."""
     n = g.vertices.agg(F.count("*").alias("n"))
     e = triangles_by_edge(g).join(_degree_of(g, "src", "a"), "src").join(_degree_of(g, "dst", "b"), "dst").join(F.broadcast(n))
     t, a, b = F.col("triangles"), F.col("a"), F.col("b")
