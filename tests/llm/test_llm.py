@@ -120,7 +120,7 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
 
 @pytest.mark.parametrize("hot", [2000, 1])
 def test_repeats_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "MANY", hot)
     shared, rows = prose(90).split(), []
     for i in range(40):
         a, b = sorted(RNG.integers(0, 90, 2))
@@ -136,6 +136,25 @@ def test_repeats_against_brute_force(spark, monkeypatch, hot):
     assert sorted(got) == sorted(want)
 
 
+def test_repeats_of_equal_rows_and_hot_passages(spark):
+    text, hot = prose(400), prose(60)
+    rows = [(7, text)] * 300 + [(i, hot + " " + prose(20)) for i in range(100, 160)] + [(None, text), (200, prose(50))]
+    got = repeats.removal_report(docs_of(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n_removed == (400 if r.n_words == 400 else 60 if r.n_words == 80 else 0)
+    empty = repeats.removal_report(docs_of(spark, rows).limit(0))
+    assert empty.count() == 0 and empty.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+
+
+def test_anchors_of_blocks_are_those_of_one(monkeypatch):
+    g = RNG.integers(0, 1 << 62, 5000).astype(np.uint64)
+    g[1000:1100] = 5
+    whole = repeats._lowest(g)
+    monkeypatch.setattr(repeats, "_BLOCK", 700)
+    assert (repeats._lowest(g) == whole).all()
+
+
 def test_packing_round_trip(spark):
     rows = [(i, prose(int(RNG.integers(1, 700)))) for i in range(50)] + [(70, prose(2500)), (71, None), (72, ""), (73, "<|endoftext|> é \U0001f600")]
     docs = docs_of(spark, rows)
