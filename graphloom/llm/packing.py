@@ -14,8 +14,10 @@ rows that repeat an id or have none; no rows give no pieces; extra columns are i
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,42 +31,49 @@ from graphloom.plans.scratch import materialize
 CAPACITY, END = 1024, 2
 #: Lengths from which patterns are enumerated in one round, and rounds at most.
 LENGTHS, ROUNDS = 160, 12
+#: Pieces of text whose ids a task keeps, and their greatest length.
+KNOWN, LONG = 1 << 18, 64
 
 Pattern = tuple[tuple[int, ...], int]
 
 
-def tokenizer_paths() -> tuple[str, str, str]:
-    """The public byte-level vocabulary: as tokenizers JSON, as ranks, and its word pattern."""
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary as tokenizers JSON."""
     import public_tokenizers as P
 
-    return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    return P.path("byte_bpe_50k.json")
 
 
 class Encoder:
-    """Token ids of tokenizers' JSON file. Where the same vocabulary is given as ranks, they are used, being faster, and compared once a batch."""
+    """Token ids of a byte-level tokenizers file, by its plain call without special tokens.
 
-    def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(json_path)
-        self.slow.encode_special_tokens = True  # their strings in a text are text
-        self.fast = None
-        if ranks_path:
-            import base64
+    Its word pattern never runs over a single space between two characters that are no white space:
+    the space opens the next word. So texts are cut there, for the characters named in _CUT, and each
+    different piece goes through tokenizers once. Strings of added tokens hold no space, so no piece
+    cuts them, and the plain call finds them in their piece.
+    """
 
-            import tiktoken
+    _CUT = re.compile(r"(?<=[!-~\u00c0-\u024f]) (?=[!-~\u00c0-\u024f])")
 
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    def checked(self, text: str) -> None:
-        if self.fast and self.fast.encode_ordinary(text) != self.slow.encode(text, add_special_tokens=False).ids:
-            raise ValueError("ranks and tokenizer file differ")
+        self.call = Tokenizer.from_file(path)
+        self.known: dict[str, list[int]] = {}
 
     def ids(self, text: str) -> np.ndarray:
-        got = self.fast.encode_ordinary(text) if self.fast else self.slow.encode(text, add_special_tokens=False).ids
-        return np.array([*got, END], dtype="<u4")
+        first, *rest = self._CUT.split(text)
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        new = list({x for x in rest if x not in self.known})
+        for x, e in zip(new, self.call.encode_batch_fast([" " + x for x in new], add_special_tokens=False), strict=True):
+            self.known[x] = e.ids
+        head = self.call.encode(first, add_special_tokens=False).ids
+        out = np.array([*head, *chain.from_iterable(map(self.known.__getitem__, rest)), END], dtype="<u4")
+        for x in new:
+            if len(x) > LONG:
+                del self.known[x]
+        return out
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -73,15 +82,14 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def tokenize(docs: DataFrame, id_col: str, text_col: str, paths: tuple, capacity: int, with_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int, with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32, part, nth[, ids]): pieces, numbered within their task and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, counts = Encoder(*paths), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        enc, part, counts = Encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
             texts = X.as_bytes(b.column(1))
             for lo, hi in X.chunks(texts):
-                enc.checked(texts[lo][:2000].decode("utf-8", "ignore"))
                 at, rows = [], []
                 for i in range(lo, hi):
                     ids = enc.ids(texts[i].decode())
@@ -163,9 +171,9 @@ def plan_patterns(hist: np.ndarray, capacity: int = CAPACITY) -> list[Pattern]:
     return [*out, *_best_fit(hist, capacity)]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, paths: tuple | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = materialize(tokenize(docs, id_col, text_col, paths or tokenizer_paths(), capacity), "pieces")
+    pieces = materialize(tokenize(docs, id_col, text_col, path or tokenizer_path(), capacity), "pieces")
     short = pieces.where(F.col("length") < capacity)
     per = materialize(short.groupBy("part", "length").agg(F.count("*").alias("k")), "lengths")
     hist = np.zeros(capacity, dtype=np.int64)
@@ -183,7 +191,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cap
         seq += n
     plan = np.array(rows, dtype=np.int64).reshape(-1, 4)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
-    ship = docs.sparkSession.sparkContext.broadcast(plan)  # a row per slot of a pattern: bounded by capacity and rounds
+    # a row per slot of a pattern: below 40000 patterns a round from LENGTHS lengths, and about one for each length that best fit uses up
+    ship = docs.sparkSession.sparkContext.broadcast(plan)
     before = F.sum("k").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     ranks = per.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
     ranked = short.join(ranks, ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
@@ -208,8 +217,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cap
     return placed.union(full).withColumnRenamed("id", id_col)
 
 
-def sequences(packed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, paths: tuple | None = None) -> DataFrame:
+def sequences(packed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """(sequence_id, ids array<int>, doc_ids): the packed sequences themselves; ids must name documents. At most capacity tokens meet in a group."""
-    tokens = tokenize(docs, id_col, text_col, paths or tokenizer_paths(), capacity, with_ids=True).select(F.col("id").alias(id_col), "piece", "ids")
+    tokens = tokenize(docs, id_col, text_col, path or tokenizer_path(), capacity, with_ids=True).select(F.col("id").alias(id_col), "piece", "ids")
     parts = packed.join(tokens, [id_col, "piece"]).groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids", id_col))).alias("s"))
     return parts.select("sequence_id", F.flatten(F.transform("s", lambda x: x["ids"])).alias("ids"), F.transform("s", lambda x: x[id_col]).alias("doc_ids"))
