@@ -1,14 +1,22 @@
 """URL filtering: host and path rules first, mined association rules for the rest.
 
-Spark's FP-growth mines combinations of URL tokens (host labels and their hyphenated parts, path
-segments, query names, scheme) that labelled URLs share with their label. Rules above the support
-and confidence that imply "block" are kept; a longer rule is dropped where a shorter one that it
-contains is as confident. They are matched by an inverted index: a join of URL tokens with rule
-tokens, after which a rule holds where as many tokens met as it has.
-
-Only DataFrame operations and JVM estimators are used. Defined results: null urls and urls without
-:// have empty host and path and no tokens, and are allowed; equal urls get equal verdicts whatever
-their ids; without urls labelled block no rules are mined; extra columns are ignored.
+Spark's FP-growth mines combinations of URL tokens (parts of host labels, hyphenated labels, path
+segments, query names, scheme) that labelled URLs share with their label. A rule is a set of tokens
+that implies "block" with enough support and confidence; of rules that contain each other the
+shortest alone are kept, as they hold wherever the longer ones do. So single tokens that are rules
+are found by counting and left out of the baskets before longer sets are mined, as are tokens that
+every URL has. Rules are matched by an inverted index: each is filed under its rarest token, and a
+URL with that token is tested for the others.
+
+Labels: (url, label) rows given by the caller, or by default what the listed rules and a list of seed
+words of hosts say of the URLs themselves, others being presumed allowed. The default can only carry
+on from these: it adds the companions of seed words, and no independent judgement.
+
+Training rows: at most SAMPLE URLs of either label, chosen by hash. Only DataFrame operations and JVM
+estimators are used. Defined results: null urls and urls without :// have empty host and path and no
+tokens, and are allowed; equal urls get equal verdicts whatever their ids; without urls labelled
+block no rules are mined; of two labels for a url block counts; no rows give none; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +33,12 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 SEEDS = ("adult", "ads", "bets", "casino", "spam", "track")
 #: Labelled urls of either kind that rules are mined from, chosen by hash.
 SAMPLE = 20_000
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.001, 0.95, 4
-BLOCK, ALLOW = "label=block", "label=allow"
+MIN_SUPPORT, MIN_CONFIDENCE = 0.001, 0.95
+#: Blocked urls that a rule must hold for, however few are labelled.
+MIN_COUNT = 5
+BLOCK = "label=block"
+#: Rules that are broadcast at most; more are joined by shuffle.
+SHIPPED = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,7 +63,7 @@ def listed(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, Co
 def tokens_of(url: Column) -> Column:
     """Distinct tokens of a url."""
     host, path = host_of(url), path_of(url)
-    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
+    labels = F.filter(F.split(host, r"\."), lambda x: x.contains("-"))
     parts = F.filter(F.split(host, r"[.\-]"), lambda x: x != "")
     steps = F.filter(F.split(F.lower(path), "/"), lambda x: (x != "") & ~x.rlike("^[0-9]"))
     query = F.transform(F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q="), F.substring_index(x, "=", 1)))
@@ -72,37 +84,60 @@ def labelled_urls(urls: DataFrame, rules: tuple = RULES, seeds: tuple[str, ...]
     return urls.where("url IS NOT NULL").select("url", label.alias("label")).distinct()
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(rule, tokens, n, confidence): pruned sets of at most MAX_TOKENS tokens that imply block."""
-    both = [labelled.where(F.col("label") == v).orderBy(F.xxhash64("url"), "url").limit(SAMPLE) for v in ("block", "allow")]
-    baskets = both[0].union(both[1]).select(F.array_append(tokens_of(F.col("url")), F.concat(F.lit("label="), "label")).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
-    rules = found.where(F.array_contains("consequent", BLOCK)).where(~F.array_contains("antecedent", ALLOW))
-    rules = rules.select(F.sort_array("antecedent").alias("tokens"), F.size("antecedent").alias("n"), "confidence").where(F.col("n") <= MAX_TOKENS)
-    rules = materialize(rules, "rules")
-    # all proper parts of each rule, at most 2 ** MAX_TOKENS of them, looked up among the rules
+def _rules_of(counts: DataFrame, least: int, min_confidence: float) -> DataFrame:
+    """(token, n) of counts (token, n, bad) that imply block by themselves."""
+    return counts.where((F.col("bad") >= least) & (F.col("bad") >= min_confidence * F.col("n"))).select("token", "n", "bad")
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
+    """(rule, tokens, n, rarest, confidence): the shortest sets of tokens that imply block, and the token that the fewest of labelled have."""
+    parts = max(int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    one = labelled.where("url IS NOT NULL").groupBy("url").agg(F.max(F.when(F.col("label") == "block", 1).otherwise(0)).alias("bad"))
+    both = [one.where(F.col("bad") == y).orderBy(F.xxhash64("url"), "url").limit(SAMPLE) for y in (1, 0)]
+    rows = materialize(both[0].union(both[1]).select(F.xxhash64("url").alias("u"), "bad", tokens_of(F.col("url")).alias("items")).repartition(parts, "u"), "baskets")
+    total = rows.count()
+    least = max(int(-(-min_support * total // 1)), min_count)
+    counts = materialize(rows.select("bad", F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")), "tokens")
+    single = _rules_of(counts, least, min_confidence)
+    # a token that is a rule, that all have, or that fewer than least bad urls have is in no longer rule
+    useful = counts.join(single.select("token"), "token", "left_anti").where((F.col("n") < total) & (F.col("bad") >= least)).select("token")
+    kept = rows.select("u", "bad", F.explode("items").alias("token")).join(useful, "token", "left_semi").groupBy("u", "bad").agg(F.collect_list("token").alias("items"))
+    baskets = kept.select(F.when(F.col("bad") == 1, F.array_append("items", F.lit(BLOCK))).otherwise(F.col("items")).alias("items"))
+    support = (least - 0.5) / max(baskets.count(), 1)  # so that rounding up gives least
+    longer = None
+    if support <= 1:
+        fp = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence, numPartitions=parts).fit(baskets)
+        longer = fp.associationRules.where(F.array_contains("consequent", BLOCK)).select(F.sort_array("antecedent").alias("tokens"), "confidence")
+    rules = single.select(F.array("token").alias("tokens"), (F.col("bad") / F.col("n")).alias("confidence"))
+    rules = materialize((rules if longer is None else rules.union(longer)).withColumn("n", F.size("tokens")), "rules")
+    # all proper parts of each rule, looked up among the rules
     none = F.array(F.array().cast("array<string>"))
-    parts = F.aggregate("tokens", none, lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.array_append(s, x))))
-    part = rules.select(F.col("tokens").alias("whole"), F.col("confidence").alias("c"), "n", F.explode(parts).alias("tokens")).where("size(tokens) BETWEEN 1 AND n - 1")
-    covered = part.join(rules.select("tokens", "confidence"), "tokens").where("confidence >= c").select(F.col("whole").alias("tokens")).distinct()
-    return rules.join(covered, "tokens", "left_anti").select(F.xxhash64("tokens").alias("rule"), "tokens", "n", "confidence")
+    parts_of = F.aggregate("tokens", none, lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.array_append(s, x))))
+    part = rules.where("n > 1").select(F.col("tokens").alias("whole"), "n", F.explode(parts_of).alias("tokens")).where("size(tokens) BETWEEN 1 AND n - 1")
+    covered = part.join(rules.select("tokens"), "tokens").select(F.col("whole").alias("tokens")).distinct()
+    short = rules.join(covered, "tokens", "left_anti").select(F.xxhash64("tokens").alias("rule"), "tokens", "n", "confidence")
+    by = short.select("rule", F.explode("tokens").alias("token")).join(counts.select("token", F.col("n").alias("k")), "token")
+    rarest = by.groupBy("rule").agg(F.min(F.struct("k", "token")).alias("m")).select("rule", F.col("m.token").alias("rarest"))
+    return short.join(rarest, "rule").select("rule", "tokens", "n", "rarest", "confidence")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, confidence): distinct urls that some rule holds for, by inverted index."""
-    index = F.broadcast(rules.select("rule", "n", "confidence", F.explode("tokens").alias("t")))  # rules of few tokens, without those that others cover
-    postings = urls.select("url").distinct().select("url", F.explode(tokens_of(F.col("url"))).alias("t"))
-    held = postings.join(index, "t").groupBy("url", "rule", "n", "confidence").agg(F.count("*").alias("k")).where("k = n")
-    return held.groupBy("url").agg(F.max("confidence").alias("confidence"))
+    """(url, confidence): distinct urls that some rule holds for."""
+    rules = materialize(rules, "index")
+    index = rules.select("rarest", F.col("tokens").alias("wanted"), "confidence")
+    if rules.count() <= SHIPPED:
+        index = F.broadcast(index)
+    own = urls.where("url IS NOT NULL").select("url").distinct().select("url", tokens_of(F.col("url")).alias("have"))
+    met = own.select("url", "have", F.explode("have").alias("rarest")).join(index, "rarest").where(F.size(F.array_except("wanted", "have")) == 0)
+    return met.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, labelled: DataFrame | None = None, rules: tuple = RULES) -> DataFrame:
     """One row per page: id_col, host, path, rule, verdict. labelled (url, label) defaults to labelled_urls of these pages."""
     base = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"))
     found = mine(labelled if labelled is not None else labelled_urls(base.select("url"), rules))
-    bad = matched(base.where("url IS NOT NULL"), found)
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    some = base.where("url IS NOT NULL").join(matched(base, found), "url", "left").select(id_col, "url", F.col("confidence").isNotNull().alias("bad"))
+    rows = some.union(base.where("url IS NULL").select(id_col, "url", F.lit(False)))  # null urls are no key of the join
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
-    out = base.join(bad, "url", "left").withColumns({"host": host, "path": path})
-    method = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
-    return out.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
+    out = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    return out.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
