@@ -1,16 +1,17 @@
 """Quality by co-training on two views: what the text holds, and the page's metadata.
 
 The text view is style measured on the whole text (shares of kinds of characters, repeated words and
-lines, word lengths); the metadata view is language, source, declared length and layout (lines and
-their length). One logistic classifier per view starts from the labelled rows; in each round a view
-hands the other the unlabelled rows it is most sure of, as long as such sureness has proved right on
-labelled rows kept apart. Both are then calibrated on those rows and combined by a logistic fit, so a
-view that says nothing gets no weight.
+lines, word lengths); the metadata view is language, source and declared length, and never reads the
+text. One logistic classifier per view starts from the labelled rows; in each round a view hands the
+other the unlabelled rows it is most sure of, as long as such sureness has proved right on labelled
+rows kept apart for that. Both are then calibrated and combined by a logistic fit on further rows
+kept apart, so a view that says nothing gets no weight.
 
-Training rows: at most LABELLED labelled and POOL unlabelled rows, chosen by hash of their id.
+Training rows: at most LABELLED labelled and POOL unlabelled rows, chosen by hash of id and text.
 Defined results: null text is empty, null metadata are values of their own; each row is scored by
-its own content; an id labelled more than once counts by its least label; without labels of both
-kinds all rows score 0.5 and stay; extra columns are passed by.
+its own content; an id labelled more than once counts by its least label; rows that repeat an id and
+a text train once; without labels of both kinds (or without rows) all score 0.5 and stay; columns of
+docs named like those that score adds are replaced, all others are passed by.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ _KIND[[9, 11, 12, 13, 32]], _KIND[10], _KIND[128:] = 3, 4, 7
 _KIND[[ord(c) for c in ".,;:?'\"()-"]] = 5
 _MARKS = b"*#$%&!|@/=<>{}[]_~^+\\"
 TEXT_FEATURES = 10 + len(_MARKS) + 10
-META_FEATURES = _SOURCES + _LANGS + 5
+_LENGTHS = 24
+META_FEATURES = _SOURCES + _LANGS + _LENGTHS + 2
 
 
 def text_view(text: bytes) -> list[float]:
@@ -72,12 +74,13 @@ def text_view(text: bytes) -> list[float]:
     ]
 
 
-def meta_view(lang: str | None, source: str | None, declared: int | None, text: bytes) -> list[float]:
+def meta_view(lang: str | None, source: str | None, declared: int | None) -> list[float]:
     out = [0.0] * META_FEATURES
     out[xxh32_intdigest(f"s{source}") % _SOURCES] = 1.0
     out[_SOURCES + xxh32_intdigest(f"l{lang}") % _LANGS] = 1.0
-    lines = text.count(b"\n") + 1
-    out[-5:] = [np.log1p(max(declared or 0, 0)), float(declared is None), np.log1p(lines), np.log1p(len(text) / lines), float(len(text) < 200)]
+    n = max(declared or 0, 0)
+    out[_SOURCES + _LANGS + min(n.bit_length(), _LENGTHS - 1)] = 1.0
+    out[-2:] = [np.log1p(n), float(declared is None)]
     return out
 
 
@@ -108,8 +111,10 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, text: Logistic, meta: Logistic, own: list[tuple[float, float]], both: Logistic):
-        self.text, self.meta, self.own, self.both = text, meta, own, both
+    """exchanged: pseudo-labels that the text view gave the other, and those that it got, by round."""
+
+    def __init__(self, text: Logistic, meta: Logistic, own: list[tuple[float, float]], both: Logistic, exchanged: list[tuple[int, int]]):
+        self.text, self.meta, self.own, self.both, self.exchanged = text, meta, own, both, exchanged
 
     def scores(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Combined score, calibrated text score, calibrated metadata score."""
@@ -126,84 +131,90 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
     """views, pool: text and metadata rows, labelled and not."""
     if len(y) < 8 or y.min() == y.max():
         return None
-    apart = np.arange(len(y)) % 4 == 0  # rows are in hash order
-    if y[apart].min() == y[apart].max() or y[~apart].min() == y[~apart].max():
-        apart = np.zeros(len(y), dtype=bool)
-    check = apart if apart.any() else ~apart
+    turn = np.arange(len(y)) % 4  # rows are in hash order
+    proof_rows, last_rows = turn == 0, turn == 3 if (turn == 3).sum() >= 100 else np.isin(turn, (0, 3))
+    train = ~(proof_rows | last_rows)
+    if any(y[rows].min() == y[rows].max() for rows in (proof_rows, last_rows, train)):
+        train = proof_rows = last_rows = np.ones(len(y), dtype=bool)
     extra: list[list[tuple[int, float]]] = [[], []]  # what each view was told of the pool
     told: list[set[int]] = [set(), set()]
 
     def fitted(k: int) -> Logistic:
         at = [i for i, _ in extra[k]]
-        x = np.vstack([views[k][~apart], pool[k][at]]) if at else views[k][~apart]
-        return Logistic(x, np.concatenate([y[~apart], [v for _, v in extra[k]]]), np.concatenate([np.ones(int((~apart).sum())), np.full(len(at), 0.5)]))
+        x = np.vstack([views[k][train], pool[k][at]]) if at else views[k][train]
+        return Logistic(x, np.concatenate([y[train], [v for _, v in extra[k]]]), np.concatenate([np.ones(int(train.sum())), np.full(len(at), 0.5)]))
 
-    models = [fitted(0), fitted(1)]
+    models, exchanged = [fitted(0), fitted(1)], []
     for _ in range(ROUNDS):
+        before = len(extra[0]), len(extra[1])
         for k in (0, 1):
             if not len(pool[k]):
                 continue
-            p, seen = _sigmoid(models[k].logit(pool[k])), _sigmoid(models[k].logit(views[k][check]))
+            p, seen = _sigmoid(models[k].logit(pool[k])), _sigmoid(models[k].logit(views[k][proof_rows]))
             for label, sure, sure_seen in ((1.0, p, seen), (0.0, 1 - p, 1 - seen)):
-                proof = y[check][sure_seen >= SURE] == label
+                proof = y[proof_rows][sure_seen >= SURE] == label
                 if len(proof) < 10 or proof.mean() < PROVED:
                     continue
                 best = [int(i) for i in np.argsort(-sure, kind="stable")[: GIVEN * 2] if sure[i] >= SURE and int(i) not in told[1 - k]][: GIVEN]
                 told[1 - k].update(best)
                 extra[1 - k] += [(i, label) for i in best]
+        exchanged.append((len(extra[1]) - before[1], len(extra[0]) - before[0]))
+        if exchanged[-1] == (0, 0):
+            break
         models = [fitted(0), fitted(1)]
-    own = [_calibrated(m.logit(v[check]), y[check]) for m, v in zip(models, views, strict=True)]
-    both = np.stack([m.logit(v[check]) * a + b for m, v, (a, b) in zip(models, views, own, strict=True)], axis=1)
-    return Model(models[0], models[1], own, Logistic(both, y[check], ridge=1e-1))
+    own = [_calibrated(m.logit(v[last_rows]), y[last_rows]) for m, v in zip(models, views, strict=True)]
+    both = np.stack([m.logit(v[last_rows]) * a + b for m, v, (a, b) in zip(models, views, own, strict=True)], axis=1)
+    return Model(models[0], models[1], own, Logistic(both, y[last_rows], ridge=1e-1), exchanged)
 
 
 def _columns(docs: DataFrame, names: tuple[str, str, str, str]) -> list:
-    kinds = ("string", "string", "long", "string")
-    have = set(docs.columns)
-    return [(F.col(n) if n in have else F.lit(None)).cast(k).alias(f"_{i}") for i, (n, k) in enumerate(zip(names, kinds, strict=True))]
+    kinds, have = ("string", "string", "long", "string"), set(docs.columns)
+    free = X.free_names(docs.columns, "_lang", "_source", "_declared", "_text")
+    return [(F.col(n) if n in have else F.lit(None)).cast(k).alias(f) for n, k, f in zip(names, kinds, free, strict=True)]
 
 
 def _views(b: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
     lang, source, declared = (b.column(at + i).to_pylist() for i in range(3))
     texts = X.as_bytes(b.column(at + 3))
     a = np.array([text_view(t) for t in texts], dtype=np.float64).reshape(-1, TEXT_FEATURES)
-    return a, np.array([meta_view(*x) for x in zip(lang, source, declared, texts, strict=True)], dtype=np.float64).reshape(-1, META_FEATURES)
+    return a, np.array([meta_view(*x) for x in zip(lang, source, declared, strict=True)], dtype=np.float64).reshape(-1, META_FEATURES)
 
 
 NAMES = ("lang", "source", "n_chars", "text")
+SCORES = ("quality_score", "text_score", "metadata_score")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", names: tuple[str, str, str, str] = NAMES) -> Model | None:
     X.small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
-    order = (F.xxhash64("id", F.lit(23)), F.col("id"))
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-    some = known.join(ids, "id", "left_semi").orderBy(*order).limit(LABELLED)
-    other = ids.join(known, "id", "left_anti").orderBy(*order).limit(POOL).select("id", F.lit(None).cast("int").alias("y"))
-    chosen = F.broadcast(some.union(other))  # LABELLED + POOL rows at most
+    views = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *(c.alias(f"v{i}") for i, c in enumerate(_columns(docs, names))))
+    views = views.withColumn("key", F.xxhash64("id", "v3"))
+    keys = views.select("id", "key").distinct()
+    some = keys.join(known, "id").orderBy("key", "id").limit(LABELLED)
+    other = keys.join(known, "id", "left_anti").orderBy("key", "id").limit(POOL).select("id", "key", F.lit(None).cast("int").alias("y"))
+    chosen = F.broadcast(some.select("id", "key", "y").union(other))  # LABELLED + POOL rows at most
+    mine = views.join(chosen, ["id", "key"]).groupBy("id", "key", "y").agg(*(F.min(f"v{i}").alias(f"v{i}") for i in range(3)), F.first("v3").alias("v3"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, m = _views(b, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64()))], names=["id", "y", "a", "m"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64()))], names=["key", "y", "a", "m"])
 
-    rows = docs.select(F.col(id_col).alias("id"), *_columns(docs, names)).join(chosen, "id").select(F.col("id").cast("string").alias("id"), "y", "_0", "_1", "_2", "_3")
-    got = rows.mapInArrow(run, "id string, y int, a array<double>, m array<double>").toArrow()
-    y, ids_ = got.column("y").to_pylist(), got.column("id").to_pylist()
-    a, m = (np.array(got.column(c).to_pylist(), dtype=np.float64).reshape(len(y), -1) for c in ("a", "m"))
-    turn = sorted(range(len(y)), key=lambda i: (xxh32_intdigest(ids_[i]), ids_[i]))
+    got = mine.select("key", "y", "v0", "v1", "v2", "v3").mapInArrow(run, "key long, y int, a array<double>, m array<double>").toArrow()
+    y, keys_ = got.column("y").to_pylist(), got.column("key").to_pylist()
+    a, m = (np.array(got.column(c).to_pylist(), dtype=np.float64).reshape(len(y), n) for c, n in (("a", TEXT_FEATURES), ("m", META_FEATURES)))
+    turn = sorted(range(len(y)), key=lambda i: (keys_[i], a[i].tolist()))
     lab, pool = [i for i in turn if y[i] is not None], [i for i in turn if y[i] is None]
-    return co_train((a[lab], m[lab]), np.array([float(y[i]) for i in lab]), (a[pool].reshape(-1, TEXT_FEATURES), m[pool].reshape(-1, META_FEATURES)))
+    return co_train((a[lab], m[lab]), np.array([float(y[i]) for i in lab]), (a[pool], m[pool]))
 
 
-def score(docs: DataFrame, model: Model | None, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
-    """docs with quality_score, text_score and metadata_score."""
+def score(docs: DataFrame, model: Model | None, names: tuple[str, str, str, str] = NAMES, out: tuple[str, str, str] = SCORES) -> DataFrame:
+    """docs with the combined, the text's and the metadata's score in columns named out."""
     X.small_batches(docs.sparkSession)
     ship = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
-    new = ["quality_score", "text_score", "metadata_score"]
-    if taken := set(new) & set(docs.columns):
-        raise ValueError(f"docs has columns {sorted(taken)} already")
-    width, out_names = len(docs.columns), [*docs.columns, *new]
+    extra = _columns(docs, names)
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in out}]
+    width, out_names = len(kept), [*kept, *out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,5 +223,5 @@ def score(docs: DataFrame, model: Model | None, names: tuple[str, str, str, str]
                 s = ship.value.scores(*_views(part, width)) if ship.value else [np.full(part.num_rows, 0.5)] * 3
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *(pa.array(v) for v in s)], names=out_names)
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in new)])
-    return docs.select("*", *_columns(docs, names)).mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, T.DoubleType()) for c in out)])
+    return docs.select(*kept, *extra).mapInArrow(run, schema)

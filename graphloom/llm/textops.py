@@ -25,6 +25,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like wanted that are not taken, whatever their case."""
+    low, out = {c.lower() for c in taken}, []
+    for w in wanted:
+        while w.lower() in low:
+            w += "_"
+        low.add(w.lower())
+        out.append(w)
+    return out
+
+
 def fmix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit words."""
     h = h ^ (h >> U(33))
