@@ -3,22 +3,24 @@
 Vectors are scaled to length 1 and encoded as sums of M full-dimensional codewords. Codebooks are
 fitted to residuals on a bounded sample, level by level; encoding keeps the BEAM best partial sums,
 so later levels correct earlier ones. A stored norm of each reconstruction turns looked-up inner
-products into cosine estimates. Every row is indexed, in packed blocks of about BLOCK rows; query
-blocks meet index blocks by an equi-join on the block number. Within a block each query's inner
-products with all codewords form its lookup table; all rows whose estimate is within a margin of the
-block's k-th best are scored exactly, in double precision, on the original vectors, and k rows per
-query and block go on. The margin is MARGIN standard deviations of the estimate's error, measured
-on the sample, so dense clusters bring more candidates rather than losing some.
+products into cosine estimates. Every row is indexed and stays where it is: queries come to the index
+in rounds, as a broadcast of at most QUERY_BYTES, so neither rows nor queries are shuffled. A task
+keeps the k best of its rows for each query; of a block of rows, those whose estimate is within a
+margin of the block's k-th best estimate and of the k-th best score so far are scored exactly, in
+double precision, on the original vectors. The margin is MARGIN standard deviations of the
+estimate's error, measured on sampled vectors that the codebooks were not fitted to.
 
 Defined results: null, zero or non-finite vectors, and those of another length than the most
 frequent, take no part; a null id neither; rows that repeat an id stand for themselves, but never
-for the query of that id; ties go to the smaller id; with no vectors there are no rows; extra
+for the query of that id; queries that repeat an id with another vector are queries of their own,
+those that repeat both are one; ties go to the smaller id; with no vectors there are no rows; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,11 @@ from pyspark.sql import functions as F
 from graphloom.plans.scratch import materialize
 
 LEVELS, WORDS, BEAM = 16, 64, 8
-#: Rows that the codebooks are fitted to, chosen by the hash of their id; each is at most MAX_DIM long.
-SAMPLE = 16384
-BLOCK, QUERIES = 8192, 512
+#: Rows that the codebooks are fitted to, chosen by the hash of their id, and their bytes at most.
+SAMPLE, SAMPLE_BYTES = 16384, 64 << 20
+#: Bytes of query vectors in one round, and rows and queries that are compared at once.
+QUERY_BYTES = 32 << 20
+BLOCK, QUERIES = 8192, 64
 MARGIN = 3.5
 
 
@@ -57,16 +61,18 @@ class Quantiser:
 
     @classmethod
     def fit(cls, x: np.ndarray, levels: int = LEVELS, words: int = WORDS, seed: int = 5) -> Quantiser:
-        rng, rest, books = np.random.default_rng(seed), x.copy(), []
+        apart = np.zeros(len(x), dtype=bool)
+        apart[:: 8 if len(x) >= 64 else len(x) + 1] = len(x) >= 64
+        own, others = x[~apart], x[apart] if apart.any() else x
+        rng, rest, books = np.random.default_rng(seed), own.copy(), []
         for _ in range(levels):
             c = _kmeans(rest, words, rng)
             books.append(c)
             rest = rest - c[np.argmin((c * c).sum(1) - 2 * (rest @ c.T), axis=1)]
         out = cls(np.stack(books).astype(np.float32))
-        codes, norms = out.encode(x)
-        probe = x[:: max(1, len(x) // 256)]
-        est = out.estimate(probe, codes, norms)
-        out.error = float((est - probe @ x.T).std())
+        codes, norms = out.encode(others)
+        probe = own[:: max(1, len(own) // 256)]
+        out.error = float((out.estimate(probe, codes, norms) - probe @ others.T).std())
         return out
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -127,55 +133,58 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     schema = f"query_id long, rank int, {id_col} long, score double"
     if not sizes:
         return spark.createDataFrame([], schema)
-    dim, n = sizes[0]["d"], sizes[0]["count"]
+    dim = sizes[0]["d"]
     usable = usable.where(F.size("v") == dim)
-    asked = _usable(queries, id_col, vec_col).where(F.size("v") == dim)
-    sample = usable.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
+    asked = _usable(queries, id_col, vec_col).where(F.size("v") == dim).withColumn("key", F.xxhash64("v")).dropDuplicates(["id", "key"])
+    asked = materialize(asked, "queries")
+    rows = min(SAMPLE, max(SAMPLE_BYTES // (8 * dim), LEVELS * WORDS))
+    sample = usable.orderBy(F.xxhash64("id"), "id").limit(rows).select("v").toArrow().column(0).combine_chunks()
     model = Quantiser.fit(_unit(_matrix(sample)).astype(np.float32))
     ship = spark.sparkContext.broadcast((model.books, model.error))  # LEVELS * WORDS vectors, whatever the data
-    blocks = max(1, -(-n // BLOCK))
-    tally = asked.count()
-    packs = max(1, -(-tally // QUERIES))
+    rounds = max(1, -(-asked.count() * dim * 8 // QUERY_BYTES))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = Quantiser(ship.value[0])
         for b in batches:
-            v = _matrix(b.column(1))
-            codes, norms = q.encode(_unit(v).astype(np.float32))
+            codes, norms = q.encode(_unit(_matrix(b.column(1))).astype(np.float32))
             binary = pa.array([x.tobytes() for x in codes], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), binary, pa.array(norms)], names=["id", "v", "codes", "norm"])
 
-    def packed(df: DataFrame, parts: int, name: str, more: list[str]) -> DataFrame:
-        lists = [F.collect_list(F.struct("id", "v", *more)).alias("rows")]
-        return df.groupBy(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)).cast("int").alias(name)).agg(*lists)
-
     encoded = materialize(usable.mapInArrow(index, "id long, v array<double>, codes binary, norm float"), "codes")
-    left = packed(encoded, blocks, "block", ["codes", "norm"])
-    right = packed(asked, packs, "pack", []).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("block", F.col("rows").alias("asked"))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = Quantiser(ship.value[0])
-        for b in batches:
-            for i in range(b.num_rows):
-                rows, want = b.column(0).slice(i, 1).flatten(), b.column(1).slice(i, 1).flatten()
-                ids, v = np.asarray(rows.field("id")), _unit(_matrix(rows.field("v")))
-                codes = np.frombuffer(b"".join(rows.field("codes").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-                norms = np.asarray(rows.field("norm"))
-                qids, qv = np.asarray(want.field("id")), _unit(_matrix(want.field("v")))
-                out_q, out_v, out_s = [], [], []
-                for lo in range(0, len(qids), 64):
-                    est = q.estimate(qv[lo : lo + 64].astype(np.float32), codes, norms)
-                    est[qids[lo : lo + 64, None] == ids[None, :]] = -2
-                    kth = np.partition(est, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
-                    for j in range(len(est)):
-                        cand = np.flatnonzero((est[j] >= kth[j] - MARGIN * ship.value[1]) & (est[j] > -2))
-                        s = np.minimum(v[cand] @ qv[lo + j], 1.0)
-                        top = np.lexsort((ids[cand], -s))[:k]
-                        out_q.append(np.full(len(top), qids[lo + j]))
-                        out_v.append(ids[cand][top])
-                        out_s.append(s[top])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["query_id", id_col, "score"])
-
-    found = left.join(right, "block").select("rows", "asked").mapInArrow(search, f"query_id long, {id_col} long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
+    parts = []
+    for r in range(rounds):
+        batch = asked.where(F.pmod(F.xxhash64("id", "key", F.lit(7)), F.lit(rounds)) == r).select("id", "key", "v").toArrow().combine_chunks()
+        if not batch.num_rows:
+            continue
+        want = spark.sparkContext.broadcast((np.asarray(batch.column(0)), np.asarray(batch.column(1)), _unit(_matrix(batch.column(2).combine_chunks()))))
+
+        def search(batches: Iterator[pa.RecordBatch], want=want) -> Iterator[pa.RecordBatch]:
+            q, (qids, keys, qv) = Quantiser(ship.value[0]), want.value
+            near, margin = qv.astype(np.float32), MARGIN * ship.value[1]
+            score, found = np.full((len(qids), k), -np.inf), np.zeros((len(qids), k), dtype=np.int64)
+            for b in batches:
+                for start in range(0, b.num_rows, BLOCK):
+                    part = b.slice(start, BLOCK)
+                    ids, v, norms = np.asarray(part.column(0)), _unit(_matrix(part.column(1))), np.asarray(part.column(3))
+                    codes = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+                    for lo in range(0, len(qids), QUERIES):
+                        est = q.estimate(near[lo : lo + QUERIES], codes, norms)
+                        est[qids[lo : lo + QUERIES, None] == ids[None, :]] = -2
+                        kth = np.partition(est, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+                        least = np.maximum(np.maximum(kth, score[lo : lo + QUERIES, -1]) - margin, -1.5)
+                        for j in np.flatnonzero((est >= least[:, None]).any(axis=1)):
+                            cand = np.flatnonzero(est[j] >= least[j])
+                            s = np.concatenate([score[lo + j], np.minimum(v[cand] @ qv[lo + j], 1.0)])
+                            i = np.concatenate([found[lo + j], ids[cand]])
+                            top = np.lexsort((i, -s))[:k]
+                            score[lo + j], found[lo + j] = s[top], i[top]
+            at, rank = np.nonzero(np.isfinite(score))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qids[at], keys[at], found[at, rank], score[at, rank])], names=["query_id", "key", id_col, "score"])
+
+        part = encoded.mapInArrow(search, f"query_id long, key long, {id_col} long, score double")
+        parts.append(materialize(part, "found") if rounds > 1 else part)
+    if not parts:
+        return spark.createDataFrame([], schema)
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), id_col)
+    found = reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order))
+    return found.where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
