@@ -7,7 +7,8 @@ Jaccard similarity 0.8 shares a key with probability (1 - (1 - 0.8**3)**12)**2 =
 0.85 with 0.99998. Every pair that counts is confirmed on the full shingle sets.
 
 Defined results: documents without words or text have no shingles and no links; fewer words than a
-shingle make one shingle of the whole sequence; exact copies are one node of the search; a row with
+shingle make one shingle of the whole sequence; exact copies, found by a hash of their sets and
+confirmed on the sets, are one node of the search; a row with
 null id has a null component and is kept; rows that repeat an id are one node (linked where any of
 its texts is). Extra columns are ignored.
 """
@@ -30,6 +31,8 @@ from graphloom.plans.scratch import materialize
 ORDER = 1 << 19
 #: 64-bit words of a set's parity map. The maps of two sets differ in no more bits than the sets in elements.
 MAP_WORDS = 16
+#: Exact copies that one task compares with a copy of their head.
+GROUP = 5000
 
 
 def _sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +200,39 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
     return both.where(100 * F.least(n, m) >= percent * F.greatest(n, m)).where(100 * i >= percent * (n + m - i)).select("u", "v").distinct()
 
 
+def _same_as_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, same) from rows (head, salt, id, s) sorted by the first two, the head's own rows before the others."""
+    at, own_sets = None, set()
+    for b in batches:
+        flat, ends = np.asarray(b.column(3).flatten()), np.cumsum(np.asarray(b.column(3).value_lengths()))
+        rows = []
+        for i, (head, salt, own) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)):
+            s = flat[0 if not i else ends[i - 1] : ends[i]].tobytes()
+            if at != (head, salt):
+                at, own_sets = (head, salt), set()
+            if own == head:
+                own_sets.add(s)
+            else:
+                rows.append((head, own, s in own_sets))
+        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["u", "v", "same"])
+
+
+def confirmed_copies(copies: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(u, v, same): whether the full sets of v and its head u are equal. Groups above GROUP rows are dealt out by salt, each with the head's set."""
+    salts = copies.groupBy("u").agg(F.count("*").alias("k")).where(F.col("k") > GROUP).select("u", F.ceil(F.col("k") / GROUP).cast("int").alias("salts"))
+    some = copies.join(salts, "u", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    members = some.select(F.col("u").alias("head"), F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), F.col("v").alias("id"))
+    heads = some.select("u", "salts").distinct().select(F.col("u").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("u").alias("id"))
+    who = materialize(members.union(heads), "members")
+    pairs = who.select(F.col("head").alias("u"), F.col("id").alias("v"))
+    sets = _sets_of(pairs, docs, id_col, text_col, shingle).select("id", "s")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = who.join(sets, "id").select("head", "salt", "id", "s", (F.col("id") == F.col("head")).alias("own"))
+    rows = rows.repartition(parts, "head", "salt").sortWithinPartitions("head", "salt", F.desc("own")).select("head", "salt", "id", "s")
+    return rows.mapInArrow(_same_as_head, "u long, v long, same boolean").groupBy("u", "v").agg(F.max("same").alias("same"))  # an id may have several texts
+
+
 def rarities(sets: DataFrame) -> np.ndarray:
     """How often shingles occur, by hash modulo ORDER; what is rarer than 4 counts as 0."""
     hashes = sets.select(F.explode("s").alias("t")).select(F.pmod("t", F.lit(ORDER)).alias("t"))
@@ -294,13 +330,15 @@ def near_duplicates(
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     live = materialize(keys.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, head long, id long"), "live")
     copies = real.join(classes.select("h1", "h2", "head"), ["h1", "h2"]).where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
+    copies = materialize(confirmed_copies(materialize(copies, "copies"), docs, id_col, text_col, shingle), "same")
     several = live.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     sized = live.join(several, "key", "left").groupBy(F.col("head").alias("u"), F.col("id").alias("v")).agg(F.max(F.col("k").isNotNull()).alias("family"))
-    sized = materialize(sized, "pairs")
+    unlike = copies.where("NOT same").select("u", "v", F.lit(False).alias("family"))  # equal hashes of different sets: pairs like others
+    sized = materialize(sized.union(unlike), "pairs")
     sets = _sets_of(sized, docs, id_col, text_col, shingle)
     ship = docs.sparkSession.sparkContext.broadcast(rarities(sets))
     tried = materialize(judged(sized, sets, percent, ship), "tried")
-    links = materialize(tried.where("linked").select("u", "v").union(copies), "links")
+    links = materialize(tried.where("linked").select("u", "v").union(copies.where("same").select("u", "v")), "links")
     comp = materialize(star_components(links, "u", "v"), "comp")
     more = materialize(within_families(tried, comp, sets, percent, ship), "more")
     if not more.isEmpty():
