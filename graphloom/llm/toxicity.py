@@ -16,7 +16,8 @@ the largest of its units; a logistic fit turns it into a score.
 Training rows: at most TOXIC + CLEAN labelled texts, chosen by the hash of their id. A text without
 units scores as the least margin does. Defined results: null text is empty; every row is scored by
 its own text; labels are taken at their maximum where an id repeats, null labels are ignored;
-extra columns are ignored.
+columns of docs named like the score that is added are replaced, other columns are passed by or
+ignored; rows that repeat an id and a text train once.
 """
 
 from __future__ import annotations
@@ -45,14 +46,18 @@ OFTEN = 4
 VARIED = 24
 #: Units of each clean text that are trained against.
 HARD = 4
+#: Texts of either label that calibration on texts not trained on needs.
+APART = 20
+#: Labelled ids that are broadcast at most.
+SHIPPED = 1_000_000
 _SIZE = 64
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”„’…–—"
 
 
 def _alphabet() -> np.ndarray:
-    """Symbol by code point: 0 pads, 63 is a boundary, letters a-z and digits have their own, others share 26."""
-    t = np.array([37 + c % 26 for c in range(0x250)], dtype=np.int32)
+    """Symbol by code point: 0 pads, 63 is a boundary, letters a-z and digits have their own, all others share 26, neighbours in an alphabet not the same one."""
+    t = (37 + np.arange(0x110000) % 26).astype(np.int8)
     for i in range(26):
         t[ord("a") + i] = 1 + i
     for i in range(10):
@@ -77,7 +82,7 @@ class Features:
 
     def __init__(self, words: list[str]):
         text = "".join([f"\x02{w}\x02\0\0\0\0\0\0" for w in words]).replace("\x02\x02", "\x02") + "\0" * 8
-        c = _CODE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0x24F)]
+        c = _CODE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int32)
         starts = np.flatnonzero((c[1:] != 0) & (c[:-1] == 0)) + 1
         self.starts = np.concatenate([[0], starts]) if len(c) and c[0] else starts
         self.n = len(words)
@@ -188,9 +193,22 @@ def _without_copies(bags: list[list[str]], labels: list[int]) -> tuple[list[list
 
 
 def train(bags: list[list[str]], labels: list[int]) -> Model:
-    """bags: the units of each text."""
+    """bags: the units of each text. Scores are calibrated on every fifth text by a model that has not seen it, if there are enough."""
     bags, labels = _without_copies(bags, labels)
     y = np.array(labels)
+    model = _trained(bags, y)
+    apart = np.zeros(len(y), dtype=bool)
+    for label in (0, 1):
+        apart[np.flatnonzero((y > 0) == label)[::5]] = True
+    if (y[apart] > 0).sum() >= APART and (y[apart] < 1).sum() >= APART:
+        other = _trained([x for x, a in zip(bags, apart, strict=True) if not a], y[~apart])
+        seen = [bags[i] for i in np.flatnonzero(apart)]
+        top = np.array([other.unit_margins(x).max() if x else FLOOR for x in seen])
+        model.a, model.b = _logistic(top, (y[apart] > 0).astype(float))
+    return model
+
+
+def _trained(bags: list[list[str]], y: np.ndarray) -> Model:
     theta = np.zeros(_SIZE**3, dtype=np.float32)
     if not (y > 0).any() or not (y < 1).any():
         return Model(theta, 0.0, 0.0, 5.0 if (y > 0).any() else -5.0)
@@ -265,27 +283,31 @@ def train(bags: list[list[str]], labels: list[int]) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on at most TOXIC texts of label 1 and CLEAN of label 0."""
+    X.small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    known = known.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(known) if known.count() <= SHIPPED else known, "id")
+    texts = texts.withColumn("key", F.xxhash64("id", "t"))
+    keys = texts.select("id", "key", "y").distinct()
 
     def some(y: int, n: int) -> DataFrame:
-        return known.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(n)
+        return keys.where(F.col("y") == y).orderBy("key", "id").limit(n)
 
-    chosen = some(1, TOXIC).union(some(0, CLEAN))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "id")  # TOXIC + CLEAN rows at most
+    chosen = F.broadcast(some(1, TOXIC).union(some(0, CLEAN)).select("id", "key"))  # TOXIC + CLEAN rows at most
+    texts = texts.join(chosen, ["id", "key"]).groupBy("id", "key", "y").agg(F.first("t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(units(t or "")) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["y", "bag"])
 
-    got = texts.orderBy(F.xxhash64("id"), "id").select("y", "t").mapInArrow(run, "y int, bag array<string>").toArrow()
+    got = texts.orderBy("key", "id").select("y", "t").mapInArrow(run, "y int, bag array<string>").toArrow()
     return train(got.column("bag").to_pylist(), got.column("y").to_pylist())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs' columns but the text, and the score."""
+    """docs' columns but the text, and the score in a column named out."""
+    X.small_batches(docs.sparkSession)
     ship = docs.sparkSession.sparkContext.broadcast(model)  # 64**3 weights
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c.lower() not in (text_col.lower(), out.lower())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,4 +319,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     from pyspark.sql import types as T
 
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(out, T.DoubleType())])
-    return docs.select(*rest, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)
+    return docs.select(*rest, F.col(text_col).cast("string").alias(X.free_names(rest, "_text")[0])).mapInArrow(run, schema)
