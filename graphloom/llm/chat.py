@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of content that are assembled at once.
 BLOCK = 4 << 20
+#: Bytes that are copied by one array of indices.
+SLICE = 256 << 10
 FOOT = b"</turn>\n"
 _MARK = re.compile(rb"\\(\\|###|</turn>|:)")
 
@@ -41,9 +43,19 @@ def unescape(text: bytes) -> bytes:
 
 
 def _copy(out: np.ndarray, to: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-    """out[to[i]:] = data[start[i] : start[i] + length[i]] for all i at once."""
-    inner = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    out[np.repeat(to, length) + inner] = data[np.repeat(start, length) + inner]
+    """out[to[i]:] = data[start[i] : start[i] + length[i]] for all i: short ones at once by indices, in slices of SLICE bytes, long ones each."""
+    for i in np.flatnonzero(length > SLICE):
+        out[to[i] : to[i] + length[i]] = data[start[i] : start[i] + length[i]]
+    short = np.flatnonzero((length > 0) & (length <= SLICE))
+    ends = np.cumsum(length[short])
+    lo = 0
+    while lo < len(short):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+        s = short[lo:hi]
+        n = length[s]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(to[s], n) + inner] = data[np.repeat(start[s], n) + inner]
+        lo = hi
 
 
 def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
