@@ -122,7 +122,7 @@ def _match(shard: Shard, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray,
         yield int(n), hit[ends[i] - n : ends[i]], found.get(i, set())
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, bytes]]]:
+def _shards(benchmark: DataFrame, item_col: str, text_col: str, least: int = 1) -> Iterator[list[tuple[str | None, bytes]]]:
     part, size = [], 0
     for r in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
         text = (r[1] or "").encode()
@@ -130,21 +130,25 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         if part and size + n > SHARD_WORDS:
             yield part
             part, size = [], 0
-        if n:
+        if n >= least:
             part.append((r[0], text))
             size += n
     yield part
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out: str = "contamination") -> DataFrame:
-    """docs with one column more: struct(n_words, hit_words array<int>, items array<string>), hit_words being indices from 0."""
-    if out in docs.columns:
-        raise ValueError(f"docs has a column {out} already")
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out: str = "contamination", least_words: int = 1) -> DataFrame:
+    """docs with one column more: struct(n_words, hit_words array<int>, items array<string>), hit_words being indices from 0.
+
+    Items of fewer than least_words words (1 at least) are left out. A column of docs named like the
+    new one is replaced.
+    """
+    X.small_batches(docs.sparkSession)
+    docs = docs.drop(out)
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
     sc = docs.sparkSession.sparkContext
     at, names_in, width = docs.columns.index(text_col), [*docs.columns, out], len(docs.columns)
     done = docs
-    for k, items in enumerate(_shards(benchmark, item_col, item_text_col)):
+    for k, items in enumerate(_shards(benchmark, item_col, item_text_col, max(least_words, 1))):
         if k:
             done = materialize(done, "decontaminate")
         ship = sc.broadcast(items)
