@@ -16,13 +16,16 @@ class Graph:
 
     @classmethod
     def from_edges(cls, edges: DataFrame, directed: bool = False, vertices: DataFrame | None = None, multi: str = "discard") -> Graph:
-        """edges(src, dst[, weight]); multi: discard keeps one of parallel edges (the least weight), sum adds them up, keep leaves them."""
+        """edges(src, dst[, weight][, no]); of parallel edges, multi: discard keeps the first by no (without no, as minimum), minimum the least weight, sum adds them up, keep leaves them."""
         w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
-        e = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), w.alias("weight"))
+        no = [F.col("no")] if "no" in edges.columns else []
+        e = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), w.alias("weight"), *no)
         if not directed:
-            e = e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"), "weight")
+            e = e.withColumns({"src": F.greatest("src", "dst"), "dst": F.least("src", "dst")})
         if multi != "keep":
-            e = e.groupBy("src", "dst").agg((F.sum if multi == "sum" else F.min)("weight").alias("weight"))
+            one = F.sum("weight") if multi == "sum" else F.min_by("weight", "no") if multi == "discard" and no else F.min("weight")
+            e = e.groupBy("src", "dst").agg(one.alias("weight"))
+        e = e.select("src", "dst", "weight")
         v = vertices.select(F.col("id").cast("long")).distinct() if vertices is not None else e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
         return cls(v, e, directed)
 
@@ -33,6 +36,12 @@ class Graph:
             return out
         return out.union(self.edges.where("src <> dst").select("dst", "src", "weight"))
 
+    def materialized(self) -> Graph:
+        """The same with edges written once, so that operators that read them again don't build them again."""
+        from graphloom.plans.scratch import materialize
+
+        return self if hasattr(self.edges, "_scratch_path") else Graph(self.vertices, materialize(self.edges, "edges"), self.directed)
+
     def adjacency(self) -> DataFrame:
         """(src, nbrs, ws), neighbours sorted: one row of a compressed sparse row matrix per vertex with edges."""
         pairs = F.sort_array(F.collect_list(F.struct("v", "w")))

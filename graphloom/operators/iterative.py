@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
@@ -17,8 +19,15 @@ def _step(state: DataFrame, new: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _as(written: DataFrame, view: DataFrame) -> DataFrame:
+    """view, to be discarded with the table it reads."""
+    view._scratch_path = written._scratch_path
+    return view
+
+
 def pagerank(g: Graph, damping: float = 0.85, iterations: int = 100, tol: float = 1e-9, distribute_sinks: bool = False) -> DataFrame:
     """(node, score): starts at 1/n; stops where the sum of changes is at most tol. Without sink distribution, directed scores are scaled to sum 1."""
+    g = g.materialized()
     n = g.vertices.count()
     if not n:
         return g.vertices.select(F.col("id").alias("node"), F.lit(0.0).alias("score"))
@@ -80,25 +89,31 @@ def katz(g: Graph, alpha: float | None = None, beta: float = 0.1, iterations: in
 def bfs(g: Graph, sources: DataFrame) -> DataFrame:
     """(node, distance, paths): hops from the nearest of sources(id), and shortest paths by which they are reached; reached nodes only."""
     arcs = materialize(g.arcs().select("u", "v"), "arcs")
-    seen = front = materialize(sources.join(g.vertices, "id", "left_semi").distinct().select(F.col("id").alias("node"), F.lit(0).alias("distance"), F.lit(1.0).alias("paths")), "bfs")
-    hop = 0
+    front = materialize(sources.join(g.vertices, "id", "left_semi").distinct().select(F.col("id").alias("node"), F.lit(0).alias("distance"), F.lit(1.0).alias("paths")), "bfs")
+    levels, hop = [front], 0
     while not front.isEmpty():
         hop += 1
         reach = arcs.join(front.select(F.col("node").alias("u"), "paths"), "u").groupBy(F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
-        front = materialize(reach.join(seen, "node", "left_anti").select("node", F.lit(hop).alias("distance"), "paths"), "front")
-        seen = materialize(seen.union(front), "bfs")
-    return seen
+        known = reduce(DataFrame.union, [x.select("node") for x in (levels if g.directed else levels[-2:])])  # an undirected edge leads back by one level at most
+        front = materialize(reach.join(known, "node", "left_anti").select("node", F.lit(hop).alias("distance"), "paths"), "front")
+        levels.append(front)
+        if g.directed and len(levels) >= 16:  # one table of what is known in place of many
+            levels = [materialize(reduce(DataFrame.union, levels), "bfs"), front.where("false")]
+    discard(arcs)
+    return reduce(DataFrame.union, levels)
 
 
 def shortest_paths(g: Graph, sources: DataFrame) -> DataFrame:
     """(node, distance): least weight from sources(id), weights not negative; a round relaxes the nodes that changed."""
     arcs = materialize(g.arcs(), "arcs")
-    best = changed = materialize(sources.distinct().select(F.col("id").alias("node"), F.lit(0.0).alias("distance")), "sssp")
+    best = changed = materialize(sources.join(g.vertices, "id", "left_semi").distinct().select(F.col("id").alias("node"), F.lit(0.0).alias("distance")), "sssp")
     while not changed.isEmpty():
+        before, old = best, changed
         offer = arcs.join(changed.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min(F.col("distance") + F.col("w")).alias("offer"))
         better = offer.join(best, "node", "left").where("distance IS NULL OR offer < distance")
         changed = materialize(better.select("node", F.col("offer").alias("distance")), "changed")
         best = materialize(best.join(changed.select("node"), "node", "left_anti").union(changed), "sssp")
+        discard(before, old)
     return best
 
 
@@ -127,6 +142,17 @@ def strongly_connected_components(g: Graph) -> DataFrame:
             state = state2
 
     while not left.isEmpty():
+        while True:  # nodes without an arc in or out are components of their own: chains go by ends, without labels
+            both = arcs.select(F.col("u").alias("id")).distinct().intersect(arcs.select(F.col("v").alias("id")).distinct())
+            alone = materialize(left.join(both, "id", "left_anti"), "scc-1")
+            if alone.isEmpty():
+                break
+            single = alone.select(F.col("id").alias("node"), F.col("id").alias("component"))
+            done = single if done is None else done.union(single)
+            left = materialize(left.join(alone, "id", "left_anti"), "scc-v")
+            arcs = materialize(arcs.join(left.select(F.col("id").alias("u")), "u", "left_semi").join(left.select(F.col("id").alias("v")), "v", "left_semi").select("u", "v"), "scc-e")
+        if left.isEmpty():
+            break
         forward = materialize(least(arcs, left.select("id", F.col("id").alias("x")), None), "fw")
         tagged = forward.select("id", F.col("x").alias("f"), F.when(F.col("x") == F.col("id"), F.col("id")).otherwise(F.lit((1 << 63) - 1)).alias("x"))
         back = least(arcs.select(F.col("v").alias("u"), F.col("u").alias("v")), tagged, "f")
@@ -145,15 +171,13 @@ def core_numbers(g: Graph) -> DataFrame:
     state = materialize(g.vertices.join(d.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("x")), "core")
     while True:
         vals = arcs.join(state.select(F.col("id").alias("v"), "x"), "v").groupBy(F.col("u").alias("id"), "x").agg(F.count("*").alias("k"))
-        from pyspark.sql import Window
-
         at_least = F.sum("k").over(Window.partitionBy("id").orderBy(F.desc("x")))
         h = vals.withColumn("c", at_least).groupBy("id").agg(F.max(F.least("c", "x")).alias("h"))
         new = materialize(state.join(h, "id", "left").select("id", F.coalesce("h", F.lit(0)).alias("y"), "x"), "core")
         if new.where("y <> x").isEmpty():
             return new.select(F.col("id").alias("node"), F.col("x").alias("core"))
         discard(state)
-        state = new.select("id", F.col("y").alias("x"))
+        state = _as(new, new.select("id", F.col("y").alias("x")))
 
 
 def label_propagation(g: Graph, rounds: int = 20) -> DataFrame:
@@ -168,7 +192,8 @@ def label_propagation(g: Graph, rounds: int = 20) -> DataFrame:
         # every other node moves in a round, by turns, so that two nodes don't swap labels for ever
         new = materialize(new.select("id", "x", F.when(F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0, F.col("y")).otherwise(F.col("x")).alias("z"), "y"), "lp")
         settled = new.where("y <> x").isEmpty()
-        state = new.select("id", F.col("z").alias("x"))
+        discard(state)
+        state = _as(new, new.select("id", F.col("z").alias("x")))
         if settled:
             break
     return state.select(F.col("id").alias("node"), F.col("x").alias("community"))

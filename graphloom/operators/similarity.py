@@ -31,7 +31,8 @@ def common_neighbours(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
 
 
 def predict(g: Graph, pairs: DataFrame) -> DataFrame:
-    """(u, v) with common, jaccard, neighbours_measure (union), preferential_attachment, adamic_adar, resource_allocation, neighbourhood_distance."""
+    """(u, v) with common, jaccard, total_neighbours (union), preferential_attachment, adamic_adar, resource_allocation, neighbourhood_distance."""
+    g = g.materialized()
     c = common_neighbours(g, pairs).join(_degree_of(g, "u", "du"), "u").join(_degree_of(g, "v", "dv"), "v")
     union = F.col("du") + F.col("dv") - F.col("common")
     return c.select(
@@ -43,7 +44,7 @@ def predict(g: Graph, pairs: DataFrame) -> DataFrame:
 
 def edge_scores(g: Graph) -> DataFrame:
     """(src, dst, triangles, jaccard_distance, scan) of every edge."""
-    n = g.vertices.agg(F.count("*").alias("n"))
-    e = triangles_by_edge(g).join(_degree_of(g, "src", "a"), "src").join(_degree_of(g, "dst", "b"), "dst").join(F.broadcast(n))
+    g = g.materialized()
+    e = triangles_by_edge(g).join(_degree_of(g, "src", "a"), "src").join(_degree_of(g, "dst", "b"), "dst")
     t, a, b = F.col("triangles"), F.col("a"), F.col("b")
     return e.select("src", "dst", "triangles", (1 - t / (a + b - t)).alias("jaccard_distance"), ((t + 1) / F.sqrt((a + 1) * (b + 1))).alias("scan"))

@@ -21,6 +21,7 @@ def _exponent(rank: Column, degree: Column) -> Column:
 
 def local_degree(g: Graph) -> DataFrame:
     """Each node ranks its neighbours by degree; ties share the rank."""
+    g = g.materialized()
     d = degrees(g).select(F.col("node").alias("v"), F.col("degree").alias("dv"))
     a = g.arcs().where("u <> v").join(d, "v").withColumn("k", F.count("*").over(Window.partitionBy("u")))
     r = F.rank().over(Window.partitionBy("u").orderBy(F.desc("dv")))
@@ -36,6 +37,7 @@ def local_filter(g: Graph, scores: DataFrame) -> DataFrame:
 
 def disparity(g: Graph) -> DataFrame:
     """Multiscale score: 1 - (1 - w / strength)^(degree - 1), the larger of both ends."""
+    g = g.materialized()
     d = degrees(g).select(F.col("node").alias("u"), "degree", "weighted_degree")
     a = g.arcs().where("u <> v").join(d, "u")
     return _both(a.select("u", "v", (1 - F.pow(1 - F.col("w") / F.col("weighted_degree"), F.col("degree") - 1)).alias("score")))

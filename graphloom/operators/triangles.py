@@ -11,6 +11,7 @@ from graphloom.operators.structure import degrees
 
 def triangles(g: Graph) -> DataFrame:
     """(a, b, c): each triangle once."""
+    g = g.materialized()
     d = degrees(g).select("node", "degree")
     e = g.edges.where("src <> dst").select("src", "dst").join(d.select(F.col("node").alias("src"), F.col("degree").alias("x")), "src").join(d.select(F.col("node").alias("dst"), F.col("degree").alias("y")), "dst")
     up = F.struct("x", "src") > F.struct("y", "dst")
@@ -26,6 +27,7 @@ def triangles_by_node(g: Graph) -> DataFrame:
 
 def triangles_by_edge(g: Graph) -> DataFrame:
     """(src, dst, triangles) of every edge."""
+    g = g.materialized()
     sides = F.array(*(F.struct(F.greatest(x, y).alias("src"), F.least(x, y).alias("dst")) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))))
     t = triangles(g).select(F.explode(sides).alias("e")).groupBy("e.src", "e.dst").agg(F.count("*").alias("t"))
     return g.edges.select("src", "dst").join(t, ["src", "dst"], "left").select("src", "dst", F.coalesce("t", F.lit(0)).alias("triangles"))
@@ -33,12 +35,14 @@ def triangles_by_edge(g: Graph) -> DataFrame:
 
 def local_clustering(g: Graph) -> DataFrame:
     """2 t / (d (d - 1)); 0 below two neighbours."""
+    g = g.materialized()
     d = degrees(g).select("node", "degree")
     return triangles_by_node(g).join(d, "node").select("node", F.when(F.col("degree") > 1, 2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0).alias("score"))
 
 
 def global_clustering(g: Graph) -> DataFrame:
     """One row: transitivity over all wedges, and the mean of local values over nodes of two neighbours or more."""
+    g = g.materialized()
     d = degrees(g).select("node", "degree")
     t = triangles_by_node(g).join(d, "node").where("degree > 1")
     wedges = F.col("degree") * (F.col("degree") - 1)

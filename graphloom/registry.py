@@ -24,6 +24,8 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def _load() -> None:
     import graphloom.graph_queries  # noqa: F401
+    import graphloom.more_queries  # noqa: F401
+    import graphloom.tool_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
