@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, co_purchase
-from graphloom.graph_queries import _simple
+from graphloom.graph_queries import CP, _simple
 from graphloom.operators import generators as G
 from graphloom.operators import local as S
 from graphloom.operators import paths as X
@@ -14,7 +14,7 @@ from graphloom.operators import randomize as R
 from graphloom.operators.structure import degrees
 from graphloom.registry import query
 from graphloom.streaming import updates as U
-from graphloom.tool_queries import PUR, SUP, purchases, supply
+from graphloom.tool_queries import _SMALL, PUR, SUP, purchases, small, supply
 
 
 def _generated(name: str, make, sql: str | None, look=None) -> None:
@@ -94,7 +94,7 @@ for _name, _kernel in {
 }.items():
     _local(_name, _kernel)
 _simple("local_pagerank", supply, lambda g: S.approximate_pagerank(g, g.vertices.where("id < 5")), None)
-_simple("local_set_conductance", co_purchase, lambda g: S.set_conductance(g, g.vertices.where("id < 500")), None)
+query("local_set_conductance", CP + f", m AS ({_SMALL}), c AS (SELECT sum(weight) FILTER ((src IN (SELECT id FROM m)) <> (dst IN (SELECT id FROM m))) AS cut, 2 * sum(weight) AS t FROM e), x AS (SELECT sum(wd) AS vol FROM d WHERE node IN (SELECT id FROM m)) SELECT cut / least(vol, t - vol) AS conductance FROM c, x")(lambda spark, sf: S.set_conductance(co_purchase(spark, sf), small(spark, sf)))
 
 # streams
 
@@ -129,7 +129,7 @@ def dynamics_updated_graph(spark, sf_dir) -> DataFrame:
     return g.edges.agg(F.lit(g.vertices.count()).cast("long").alias("nodes"), F.count("*").alias("edges"), F.sum("weight").alias("weight"))
 
 
-@query("dynamics_difference", SUP + " SELECT 'EDGE_REMOVAL' AS type, count(*) FILTER (weight < 10) AS n FROM e UNION ALL SELECT 'EDGE_WEIGHT_UPDATE', count(*) FILTER (weight >= 10) FROM e")
+@query("dynamics_difference", SUP + " SELECT CASE WHEN weight < 10 THEN 'EDGE_REMOVAL' ELSE 'EDGE_WEIGHT_UPDATE' END AS type, count(*) AS n FROM e GROUP BY 1")
 def dynamics_difference(spark, sf_dir) -> DataFrame:
     g = supply(spark, sf_dir).materialized()
     h = Graph(g.vertices, g.edges.where("weight >= 10").select("src", "dst", (F.col("weight") + 1).alias("weight")))
@@ -138,11 +138,11 @@ def dynamics_difference(spark, sf_dir) -> DataFrame:
 
 @query("dynamics_components", None)
 def dynamics_components(spark, sf_dir) -> DataFrame:
-    """Components of purchases after all edges of every tenth supplier went, kept up from those before."""
+    """Components of purchases after all edges of a single lineitem went, kept up from those before."""
     g = purchases(spark, sf_dir).materialized()
     watched = U.Watched(g)
     kept = U.dynamic_components(watched).run()
-    gone = g.edges.where("src % 10 = 0").select(F.monotonically_increasing_id().alias("seq"), F.lit("EDGE_REMOVAL").alias("type"), F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(None).cast("double").alias("w"))
+    gone = g.edges.where("weight = 1").select(F.monotonically_increasing_id().alias("seq"), F.lit("EDGE_REMOVAL").alias("type"), F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(None).cast("double").alias("w"))
     watched.apply(gone)
     return kept.result
 
@@ -175,7 +175,7 @@ def _round_trip(name: str, write, read, sql: str, graph=purchases) -> None:
 
 
 def _register_files() -> None:
-    from graphloom.operators.partitions import random_partition
+    from graphloom.operators.partitions import balanced_partition
     from graphloom.sources import files as L
     from graphloom.sources import formats as D
 
@@ -188,8 +188,8 @@ def _register_files() -> None:
     _round_trip("snap_remapped", D.write_snap, lambda s, p: D.read_snap_remapped(s, p)[0].edges.agg(F.count("*").alias("edges"), F.max(F.greatest("src", "dst")).alias("top")), PUR + " SELECT count(*) AS edges, (SELECT count(*) - 1 FROM d WHERE degree > 0) AS top FROM e")
     _round_trip("gml", D.write_gml, lambda s, p: e(D.read_gml(s, p)), _PLAIN, supply)
     _round_trip("matrix_market", lambda g, p: D.write_matrix_market(g.edges.toDF("i", "j", "v"), 10**6, 10**6, p), lambda s, p: D.read_matrix_market(s, p), SUP + " SELECT src AS i, dst AS j, weight AS v FROM e", supply)
-    _round_trip("partition", lambda g, p: D.write_partition(random_partition(g, 4), p), lambda s, p: D.read_partition(s, p).agg(F.count("*").alias("nodes"), F.count_distinct("community").alias("communities")), SUP + " SELECT count(*) AS nodes, 4 AS communities FROM v", supply)
-    _round_trip("cover", lambda g, p: D.write_cover(random_partition(g, 4), p), lambda s, p: D.read_cover(s, p).agg(F.count("*").alias("nodes"), F.count_distinct("community").alias("communities")), SUP + " SELECT count(*) AS nodes, 4 AS communities FROM v", supply)
+    _round_trip("partition", lambda g, p: D.write_partition(balanced_partition(g, 4), p), lambda s, p: D.read_partition(s, p).agg(F.count("*").alias("nodes"), F.count_distinct("community").alias("communities")), SUP + " SELECT count(*) AS nodes, 4 AS communities FROM v", supply)
+    _round_trip("cover", lambda g, p: D.write_cover(balanced_partition(g, 4), p), lambda s, p: D.read_cover(s, p).agg(F.count("*").alias("nodes"), F.count_distinct("community").alias("communities")), SUP + " SELECT count(*) AS nodes, 4 AS communities FROM v", supply)
     _round_trip("dgs", lambda g, p: D.write_dgs(U.difference(Graph(g.vertices, g.edges.where("false")), g), p), lambda s, p: D.read_dgs(s, p, mapped=False)[0].select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("w").alias("weight")), _PLAIN, supply)
 
 

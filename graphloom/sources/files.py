@@ -28,14 +28,14 @@ def read_edge_list(spark: SparkSession, path: str, separator: str = r"\s+", firs
     """`u SEP v [SEP w]` lines; of parallel edges the first in the file stays."""
     lines = lines_in_order(spark, path).where(~F.col("value").startswith(comment) & (F.trim("value") != ""))
     p = F.split(F.trim("value"), separator)
-    e = lines.select("no", (p[0].cast("long") - first_node).alias("src"), (p[1].cast("long") - first_node).alias("dst"), F.coalesce(F.get(p, 2).cast("double"), F.lit(1.0)).alias("weight"))
+    e = lines.select("no", (p[0].try_cast("long") - first_node).alias("src"), (p[1].try_cast("long") - first_node).alias("dst"), F.coalesce(F.get(p, 2).try_cast("double"), F.lit(1.0)).alias("weight"))
     return Graph.from_edges(e, directed)
 
 
 def read_named_edge_list(spark: SparkSession, path: str, separator: str = r"\s+", comment: str = "#", directed: bool = False) -> tuple[Graph, DataFrame]:
     """The same with names instead of numbers: nodes are numbered by first mention, given as (name, id)."""
     p = F.split(F.trim("value"), separator)
-    t = lines_in_order(spark, path).where(~F.col("value").startswith(comment) & (F.trim("value") != "")).select("no", p[0].alias("a"), p[1].alias("b"), F.coalesce(F.get(p, 2).cast("double"), F.lit(1.0)).alias("weight"))
+    t = lines_in_order(spark, path).where(~F.col("value").startswith(comment) & (F.trim("value") != "")).select("no", p[0].alias("a"), p[1].alias("b"), F.coalesce(F.get(p, 2).try_cast("double"), F.lit(1.0)).alias("weight"))
     first = t.select("no", F.posexplode(F.array("a", "b")).alias("k", "name")).groupBy("name").agg(F.min(F.struct("no", "k")).alias("at"))
     ids = numbered(first.select("name", F.col("at.no").alias("no"), F.col("at.k").alias("k")), "no", "k", name="id").select("name", "id")
     e = t.join(ids.select(F.col("name").alias("a"), F.col("id").alias("src")), "a").join(ids.select(F.col("name").alias("b"), F.col("id").alias("dst")), "b")
@@ -54,11 +54,11 @@ def read_metis(spark: SparkSession, path: str) -> Graph:
     n, fmt = head[0], head[2] if len(head) > 2 else 0
     skip = (head[3] if len(head) > 3 else 1) if fmt // 10 % 10 == 1 else 0
     toks = F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")
-    rows = lines.where((F.col("no") > 0) & (F.col("no") <= n)).select((F.col("no") - 1).cast("long").alias("src"), F.slice(toks, F.lit(skip + 1), F.greatest(F.size(toks) - skip, F.lit(0))).alias("t"))
+    rows = lines.where((F.col("no") > 0) & (F.col("no") <= n)).select((F.col("no") - 1).try_cast("long").alias("src"), F.slice(toks, F.lit(skip + 1), F.greatest(F.size(toks) - skip, F.lit(0))).alias("t"))
     step = 2 if fmt % 10 == 1 else 1
     cells = rows.select("src", F.posexplode("t").alias("k", "x"), "t").where(F.col("k") % step == 0)
-    w = F.element_at("t", F.col("k") + 2).cast("double") if step == 2 else F.lit(1.0)
-    return Graph.from_edges(cells.select("src", (F.col("x").cast("long") - 1).alias("dst"), w.alias("weight")), vertices=spark.range(n))
+    w = F.element_at("t", F.col("k") + 2).try_cast("double") if step == 2 else F.lit(1.0)
+    return Graph.from_edges(cells.select("src", (F.col("x").try_cast("long") - 1).alias("dst"), w.alias("weight")), vertices=spark.range(n))
 
 
 def write_edge_list(g: Graph, path: str, separator: str = "\t", first_node: int = 0, both: bool = False) -> None:

@@ -51,11 +51,11 @@ def read_konect(spark: SparkSession, path: str, remap: bool = False, multi: str
     if weights == "dynamic":
         raise ValueError("dynamic files are no graphs")
     t = lines.where("value NOT LIKE '\\%%' AND trim(value) <> ''").withColumn("t", _words())
-    w = F.coalesce(F.get("t", 2).cast("double"), F.lit(1.0)) if weights in ("positive", "posweighted", "signed", "weighted", "multiweighted", "multisigned") else F.lit(1.0)
+    w = F.coalesce(F.get("t", 2).try_cast("double"), F.lit(1.0)) if weights in ("positive", "posweighted", "signed", "weighted", "multiweighted", "multisigned") else F.lit(1.0)
     shift = 0
     if kind == "bip":
-        shift = int(head[1][1]) if len(head) > 1 and len(head[1]) > 1 else t.agg(F.max(F.get("t", 0).cast("long"))).first()[0] or 0
-    e = t.select("no", (F.get("t", 0).cast("long") - 1).alias("src"), (F.get("t", 1).cast("long") - 1 + shift).alias("dst"), w.alias("weight"))
+        shift = int(head[1][1]) if len(head) > 1 and len(head[1]) > 1 else t.agg(F.max(F.get("t", 0).try_cast("long"))).first()[0] or 0
+    e = t.select("no", (F.get("t", 0).try_cast("long") - 1).alias("src"), (F.get("t", 1).try_cast("long") - 1 + shift).alias("dst"), w.alias("weight"))
     n = int(head[1][1]) if len(head) > 1 and len(head[1]) > 1 and kind != "bip" else None
     g = Graph.from_edges(e, kind == "asym", vertices=spark.range(n) if n and not remap else None, multi=multi)
     if remap:
@@ -69,9 +69,9 @@ def read_snap_remapped(spark: SparkSession, path: str, directed: bool = False) -
     """The graph with ids numbered in order of their first mention, and (id, number)."""
     t = read_lines(spark, path).where("value NOT LIKE '#%' AND trim(value) <> ''").withColumn("t", _words())
     ends = t.select("no", F.posexplode(F.slice("t", 1, 2)).alias("k", "id"))
-    first = ends.groupBy("id").agg(F.min(F.struct("no", "k")).alias("at")).select(F.col("id").cast("long").alias("id"), F.col("at.no").alias("no"), F.col("at.k").alias("k"))
+    first = ends.groupBy("id").agg(F.min(F.struct("no", "k")).alias("at")).select(F.col("id").try_cast("long").alias("id"), F.col("at.no").alias("no"), F.col("at.k").alias("k"))
     ids = numbered(first, "no", "k").select("id", "number")
-    e = t.select("no", F.get("t", 0).cast("long").alias("a"), F.get("t", 1).cast("long").alias("b"))
+    e = t.select("no", F.get("t", 0).try_cast("long").alias("a"), F.get("t", 1).try_cast("long").alias("b"))
     e = e.join(ids.select(F.col("id").alias("a"), F.col("number").alias("src")), "a").join(ids.select(F.col("id").alias("b"), F.col("number").alias("dst")), "b")
     return Graph.from_edges(e.select("no", "src", "dst"), directed, vertices=ids.select(F.col("number").alias("id"))), ids
 
@@ -116,8 +116,8 @@ def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("only coordinate files are read")
     body = lines.where("value NOT LIKE '\\%%' AND trim(value) <> ''").withColumn("t", _words())
     size = body.agg(F.min("no")).first()[0]
-    v = F.lit(1.0) if head[3] == "pattern" else F.get("t", 2).cast("double")
-    e = body.where(F.col("no") > size).select((F.get("t", 0).cast("long") - 1).alias("i"), (F.get("t", 1).cast("long") - 1).alias("j"), v.alias("v"))
+    v = F.lit(1.0) if head[3] == "pattern" else F.get("t", 2).try_cast("double")
+    e = body.where(F.col("no") > size).select((F.get("t", 0).try_cast("long") - 1).alias("i"), (F.get("t", 1).try_cast("long") - 1).alias("j"), v.alias("v"))
     if head[4] in ("symmetric", "skew-symmetric"):
         sign = -1.0 if head[4].startswith("skew") else 1.0
         e = e.union(e.where("i <> j").select("j", "i", (sign * F.col("v")).alias("v")))
@@ -267,7 +267,7 @@ def _write_parts(g: Graph, path: str, head: list[str], node, edge, foot: list[st
 
 def read_partition(spark: SparkSession, path: str) -> DataFrame:
     """(node, community): one community per line, nodes by line number."""
-    return read_lines(spark, path).where("trim(value) <> '' AND value NOT LIKE '#%'").select(F.col("no").alias("node"), F.trim("value").cast("long").alias("community"))
+    return read_lines(spark, path).where("trim(value) <> '' AND value NOT LIKE '#%'").select(F.col("no").alias("node"), F.trim("value").try_cast("long").alias("community"))
 
 
 def write_partition(p: DataFrame, path: str) -> None:
@@ -278,13 +278,13 @@ def write_partition(p: DataFrame, path: str) -> None:
 def read_partition_list(spark: SparkSession, path: str, first_node: int = 1, separator: str = r"\s+") -> DataFrame:
     """`node SEP community` lines."""
     t = F.split(F.trim("value"), separator)
-    return spark.read.text(path).where("trim(value) <> '' AND value NOT LIKE '#%'").select((t[0].cast("long") - first_node).alias("node"), t[1].cast("long").alias("community"))
+    return spark.read.text(path).where("trim(value) <> '' AND value NOT LIKE '#%'").select((t[0].try_cast("long") - first_node).alias("node"), t[1].try_cast("long").alias("community"))
 
 
 def read_cover(spark: SparkSession, path: str) -> DataFrame:
     """(node, community): a line of nodes for each community, numbered in order."""
     t = numbered(read_lines(spark, path).where("trim(value) <> '' AND value NOT LIKE '#%'"), "no", name="community")
-    return t.select(F.explode(_words()).cast("long").alias("node"), "community")
+    return t.select(F.explode(_words()).alias("node"), "community").select(F.col("node").try_cast("long").alias("node"), "community")
 
 
 def write_cover(cover: DataFrame, path: str) -> None:
@@ -295,7 +295,7 @@ def write_cover(cover: DataFrame, path: str) -> None:
 def read_cover_list(spark: SparkSession, path: str, first_node: int = 1) -> DataFrame:
     """`node c1 c2 ...` lines."""
     t = spark.read.text(path).where("trim(value) <> '' AND value NOT LIKE '#%'").withColumn("t", _words())
-    return t.select((F.get("t", 0).cast("long") - first_node).alias("node"), F.explode(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0)))).cast("long").alias("community"))
+    return t.select((F.get("t", 0).try_cast("long") - first_node).alias("node"), F.explode(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0)))).alias("community")).select("node", F.col("community").try_cast("long").alias("community"))
 
 
 def read_snap_cover(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
@@ -342,10 +342,10 @@ def read_dgs(spark: SparkSession, path: str, mapped: bool = True, base: int = 0)
     u = F.when(code == "st", None).when(code.isin("an", "dn", "rn"), clean(a)).when((code == "ae") & (F.size("t") >= 4) & ~b.contains("="), clean(b)).otherwise(pair[0])
     v = F.when(code.isin("an", "dn", "rn", "st"), None).when((code == "ae") & (F.size("t") >= 4) & ~b.contains("="), clean(F.get("t", 3))).otherwise(F.get(pair, 1))
     w = F.regexp_extract("value", r"weight\s*=\s*([-+0-9.eE]+)", 1)
-    e = t.select("no", kind.alias("type"), u.alias("a"), v.alias("b"), F.when(kind.isin("EDGE_ADDITION", "EDGE_WEIGHT_UPDATE", "EDGE_WEIGHT_INCREMENT"), F.when(w != "", w.cast("double")).otherwise(1.0)).alias("w")).where("type IS NOT NULL")
+    e = t.select("no", kind.alias("type"), u.alias("a"), v.alias("b"), F.when(kind.isin("EDGE_ADDITION", "EDGE_WEIGHT_UPDATE", "EDGE_WEIGHT_INCREMENT"), F.when(w != "", w.try_cast("double")).otherwise(1.0)).alias("w")).where("type IS NOT NULL")
     names = e.select("no", F.posexplode(F.array("a", "b")).alias("k", "name")).where("name IS NOT NULL").groupBy("name").agg(F.min(F.struct("no", "k")).alias("at"))
     names = names.select("name", F.col("at.no").alias("no"), F.col("at.k").alias("k"))
-    ids = numbered(names, "no", "k", name="id").select("name", "id") if mapped else names.select("name", (F.col("name").cast("long") - base).alias("id"))
+    ids = numbered(names, "no", "k", name="id").select("name", "id") if mapped else names.select("name", (F.col("name").try_cast("long") - base).alias("id"))
     e = e.join(ids.select(F.col("name").alias("a"), F.col("id").alias("u")), "a", "left").join(ids.select(F.col("name").alias("b"), F.col("id").alias("v")), "b", "left")
     return numbered(e.select("no", "type", "u", "v", "w"), "no", name="seq").select("seq", "type", "u", "v", "w"), ids
 

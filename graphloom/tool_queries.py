@@ -153,7 +153,7 @@ _on("distance_spsp", lambda g, s, d: X.pair_distances(g, g.vertices.where("id <
 _on("distance_targets", lambda g, s, d: X.target_distances(g, 0, g.vertices.where(F.col("id") >= REGIONS), weighted=True), TER + _FOREST.replace("FROM v UNION ALL", "FROM v WHERE id = 0 UNION ALL") + f" SELECT id AS target, x AS distance FROM v LEFT JOIN w ON b = id WHERE id >= {REGIONS}", territory)
 _on("distance_path_counts", lambda g, s, d: X.shortest_path_counts(g, 0), TER + _FOREST.replace("FROM v UNION ALL", "FROM v WHERE id = 0 UNION ALL") + " SELECT b AS node, x AS distance, 1.0 AS paths FROM w", territory)
 _on("distance_predecessors", lambda g, s, d: X.predecessors(g, I.shortest_paths(g, g.vertices.where("id = 0"))), TER + _FOREST.replace("FROM v UNION ALL", "FROM v WHERE id = 0 UNION ALL") + " SELECT b AS node, last AS predecessor FROM w WHERE k > 0", territory)
-_on("distance_shortest_path", lambda g, s, d: X.shortest_path(g, CUSTOMERS, SUPPLIERS + 1), None, territory)
+_on("distance_shortest_path", lambda g, s, d: X.shortest_path(g, 0, REGIONS), f"SELECT 0 AS position, CAST(0 AS BIGINT) AS node UNION ALL SELECT 1, CAST({REGIONS} AS BIGINT)", territory)
 _on("distance_bidirectional_bfs", lambda g, s, d: X.bidirectional_bfs(g, 0, REGIONS), TER + _FOREST.replace("FROM v UNION ALL", "FROM v WHERE id = 0 UNION ALL") + f" SELECT max(k) AS distance FROM w WHERE b = {REGIONS}", territory)
 _on("distance_reverse_bfs", lambda g, s, d: X.reverse_bfs(g, g.vertices.where(F.col("id") == CUSTOMERS)).select("node", "distance"), TER + f" SELECT CAST({CUSTOMERS} AS BIGINT) AS node, 0 AS distance UNION ALL SELECT CAST(c_nationkey AS BIGINT), 1 FROM customer WHERE c_custkey = 0 UNION ALL SELECT n_regionkey + {REGIONS}, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 0", downward)
 _on("distance_all_simple_paths", lambda g, s, d: X.all_simple_paths(g, 0, 3, 2).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path")), SUP + " SELECT '0,3' AS path FROM e WHERE src = 3 AND dst = 0 UNION ALL SELECT '0,' || a.v || ',3' FROM s a JOIN s b ON a.v = b.u WHERE a.u = 0 AND b.v = 3 AND a.v NOT IN (0, 3)", supply)
