@@ -18,14 +18,14 @@ from graphloom.registry import query
 from graphloom.streaming import events as E
 
 # SQL of the graphs: v(id), e(src, dst, weight), s(u, v, w) with both directions, d(node, degree, wd).
-_E = """e AS (SELECT CAST(a.l_partkey AS BIGINT) AS src, CAST(b.l_partkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS weight
+_E = """e AS MATERIALIZED (SELECT CAST(a.l_partkey AS BIGINT) AS src, CAST(b.l_partkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS weight
   FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey > b.l_partkey GROUP BY 1, 2{having})"""
 _REST = """, v AS (SELECT CAST(p_partkey AS BIGINT) AS id FROM part),
 s AS (SELECT src AS u, dst AS v, weight AS w FROM e UNION ALL SELECT dst, src, weight FROM e),
 d AS (SELECT id AS node, count(u) AS degree, coalesce(sum(w), 0.0) AS wd FROM v LEFT JOIN s ON u = id GROUP BY id)"""
 CP = "WITH RECURSIVE " + _E.format(having="") + _REST
 CP2 = "WITH RECURSIVE " + _E.format(having=" HAVING count(*) >= 2") + _REST
-TR = """WITH RECURSIVE e AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS weight
+TR = """WITH RECURSIVE e AS MATERIALIZED (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS weight
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
 v AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation)"""
 GEO = "WITH RECURSIVE e AS (SELECT CAST(n_regionkey + 1000 AS BIGINT) AS src, CAST(n_nationkey AS BIGINT) AS dst, 1.0 AS weight FROM nation), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), s AS (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e)"
@@ -140,7 +140,7 @@ def _relaxed_sql(rounds: int) -> str:
     steps = ["x0 AS (SELECT id AS node, CAST(0 AS DOUBLE) AS x FROM v WHERE id = 0)"]
     for k in range(rounds):
         steps.append(f"x{k + 1} AS MATERIALIZED (SELECT node, min(x) AS x FROM (SELECT node, x FROM x{k} UNION ALL SELECT e.dst, x + weight FROM x{k} JOIN e ON e.src = node) GROUP BY node)")
-    return TR.replace("e AS (", "e AS MATERIALIZED (", 1) + ", " + ", ".join(steps) + f" SELECT node, x AS distance FROM x{rounds}"
+    return TR + ", " + ", ".join(steps) + f" SELECT node, x AS distance FROM x{rounds}"
 
 
 _simple("distance_sssp_trade", trade, _dijkstra, _relaxed_sql(24))  # 25 nations
