@@ -29,7 +29,7 @@ from graphloom.llm.textops import free_names
 _RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])(?=[0-9+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{12,}"
 #: Words after which an assigned value is a candidate.
 CUES = "passwords?|passwd|pwd|passphrase|passcode|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?"
-_ASSIGNED = rf"(?<=[=:\s\"'`])(?<=(?i:{CUES})[\"'`]?\s?[=:]\s?[\"'`]?)(?![\s\"'`<>(){{}}\[\]=:])[^\s\"'`<>(){{}}\[\],;]{{6,128}}"
+_ASSIGNED = rf"(?<=[=:]\s?[\"'`]?)(?<=(?i:{CUES})[\"'`]?\s?[=:]\s?[\"'`]?)(?![\s\"'`<>(){{}}\[\]=:])[^\s\"'`<>(){{}}\[\],;]{{6,128}}"
 CANDIDATE = f"{_ASSIGNED}|{_RUN}"
 #: Characters of text before and after a candidate that the forest may read.
 BEFORE, AFTER = 48, 24
