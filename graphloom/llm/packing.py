@@ -14,8 +14,10 @@ rows that repeat an id or have none; no rows give no pieces; extra columns are i
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,7 +34,7 @@ CAPACITY, END = 1024, 2
 #: Lengths from which patterns are enumerated in one round, and rounds at most.
 LENGTHS, ROUNDS = 160, 12
 #: Pieces of text whose ids a task keeps, and their greatest length.
-KNOWN, LONG = 1 << 18, 64
+KNOWN, LONG = 1 << 19, 64
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -45,36 +47,70 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Token ids of a byte-level tokenizers file, by its plain call without special tokens.
-
-    Its word pattern never runs over a single space between two characters that are no white space:
-    the space opens the next word. So texts are cut there, for the characters named in _CUT, and each
-    different piece goes through tokenizers once. Strings of added tokens hold no space, so no piece
-    cuts them, and the plain call finds them in their piece.
+    """Token ids of a byte-level tokenizers file, as its plain call gives them without special tokens.
+
+    The file's word pattern always parts a text before a single space between two characters that are
+    no white space, and between a letter and a full stop, comma or the like. So texts are cut there
+    (for the characters of _LETTERS and printable ASCII), and each different piece is encoded once and
+    kept as the bytes of its ids. A piece of letters alone is one word of the pattern and goes straight
+    to the file's BPE model; every other piece goes through the plain call. Strings of added tokens
+    hold none of these cuts, and no piece of letters holds them.
     """
 
-    _CUT = re.compile(r"(?<=[!-~\u00c0-\u024f]) (?=[!-~\u00c0-\u024f])")
+    _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+    _CUT = re.compile(rf"(?<=[!-~{_LETTERS}])(?= [!-~{_LETTERS}])|(?<=[{_LETTERS}])(?=[.,;:!?)])")
+    _WORD = re.compile(rf" ?[{_LETTERS}]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         self.call = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        first, *rest = self._CUT.split(text)
+        self._model = self.call.model
+        self.known: dict[str, bytes] = {}
+        spelt = self.call.pre_tokenizer.pre_tokenize_str
+        letters = [c for c in map(chr, range(0x250)) if self._WORD.fullmatch(c)]
+        self.table = {ord(c): spelt(c)[0][0] for c in letters} | {32: spelt(" a")[0][0][:-1]}
+        trial = " " + "".join(letters)
+        if self._word(trial) != self._plain([trial])[0]:
+            raise ValueError("the file's tokenizer is no byte-level BPE that takes letters as one word")
+
+    def _word(self, x: str) -> bytes:
+        return array("I", [t.id for t in self._model.tokenize(x.translate(self.table))]).tobytes()
+
+    def _plain(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.call.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, and END."""
         if len(self.known) > KNOWN:
             self.known.clear()
-        new = list({x for x in rest if x not in self.known})
-        for x, e in zip(new, self.call.encode_batch_fast([" " + x for x in new], add_special_tokens=False), strict=True):
-            self.known[x] = e.ids
-        head = self.call.encode(first, add_special_tokens=False).ids
-        out = np.array([*head, *chain.from_iterable(map(self.known.__getitem__, rest)), END], dtype="<u4")
+        split = [self._CUT.split(t) for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.known)
+        words = {x for x in new if self._WORD.fullmatch(x)}
+        self.known.update({x: self._word(x) for x in words})
+        rest = list(new - words)
+        self.known.update(zip(rest, self._plain(rest), strict=True))
+        end, get = np.array([END], dtype="<u4").tobytes(), self.known.__getitem__
+        out = [np.frombuffer(b"".join([*map(get, x), end]), dtype="<u4") for x in split]
         for x in new:
             if len(x) > LONG:
                 del self.known[x]
         return out
 
+    def ids(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One per worker process, whose tasks share what it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens; only the first may be shorter than capacity."""
@@ -86,13 +122,12 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: i
     """(id, piece, start, length, ids_crc32, part, nth[, ids]): pieces, numbered within their task and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, counts = Encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        enc, part, counts = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
             texts = X.as_bytes(b.column(1))
             for lo, hi in X.chunks(texts):
                 at, rows = [], []
-                for i in range(lo, hi):
-                    ids = enc.ids(texts[i].decode())
+                for i, ids in enumerate(enc.many([t.decode() for t in texts[lo:hi]]), lo):
                     for p, (s, n) in enumerate(cuts(len(ids), capacity)):
                         raw = ids[s : s + n].tobytes()
                         at.append(i)
