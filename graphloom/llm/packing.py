@@ -35,6 +35,8 @@ CAPACITY, END = 1024, 2
 LENGTHS, ROUNDS = 160, 12
 #: Pieces of text whose ids a task keeps, and their greatest length.
 KNOWN, LONG = 1 << 19, 64
+#: New words that go through one call.
+JOINED = 4096
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -50,16 +52,22 @@ class Encoder:
     """Token ids of a byte-level tokenizers file, as its plain call gives them without special tokens.
 
     The file's word pattern always parts a text before a single space between two characters that are
-    no white space, and between a letter and a full stop, comma or the like. So texts are cut there
-    (for the characters of _LETTERS and printable ASCII), and each different piece is encoded once and
-    kept as the bytes of its ids. A piece of letters alone is one word of the pattern and goes straight
-    to the file's BPE model; every other piece goes through the plain call. Strings of added tokens
-    hold none of these cuts, and no piece of letters holds them.
+    no white space, on both sides of a single line end between two such, and between a letter and a
+    full stop, comma or the like. So a text whose spaces all
+    stand between two characters of _SOLID is cut at them, and each different word is encoded once,
+    with its space, and kept as the bytes of its ids; a mark after a letter at its end, and single line
+    ends inside between two characters of _SOLID with what follows them, have ids of their own. New words of letters alone are one word of the pattern and go straight to the file's BPE model;
+    others go through the plain call together, joined by spaces: as only the first token of each begins
+    with a space, the ids are dealt out again. Other texts are cut by _CUT, which finds
+    such spaces one by one, and their pieces go through the plain call. Strings of added tokens hold
+    none of these cuts.
     """
 
     _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+    _SOLID = re.compile(rf"[!-~{_LETTERS}](?:.*[!-~{_LETTERS}])?", re.DOTALL)
     _CUT = re.compile(rf"(?<=[!-~{_LETTERS}])(?= [!-~{_LETTERS}])|(?<=[{_LETTERS}])(?=[.,;:!?)])")
-    _WORD = re.compile(rf" ?[{_LETTERS}]+")
+    _WORD = re.compile(rf"[{_LETTERS}]+")
+    _MARKED = re.compile(rf".*[{_LETTERS}][.,;:!?)]", re.DOTALL)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -67,37 +75,105 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         self.call = Tokenizer.from_file(path)
         self._model = self.call.model
-        self.known: dict[str, bytes] = {}
         spelt = self.call.pre_tokenizer.pre_tokenize_str
+        space = spelt(" a")[0][0][:-1]
         letters = [c for c in map(chr, range(0x250)) if self._WORD.fullmatch(c)]
-        self.table = {ord(c): spelt(c)[0][0] for c in letters} | {32: spelt(" a")[0][0][:-1]}
-        trial = " " + "".join(letters)
-        if self._word(trial) != self._plain([trial])[0]:
+        self.table = {ord(c): spelt(c)[0][0] for c in letters} | {32: f" {space}"}
+        if self._of_letters(["".join(letters)]) != self._plain([" " + "".join(letters)]):
             raise ValueError("the file's tokenizer is no byte-level BPE that takes letters as one word")
-
-    def _word(self, x: str) -> bytes:
-        return array("I", [t.id for t in self._model.tokenize(x.translate(self.table))]).tobytes()
+        vocabulary = self.call.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
+        #: By word, with the space before it; by piece, as it stands.
+        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        marks = list(".,;:!?)")
+        self.marks = dict(zip(marks, self._plain(marks), strict=True))
+        (self.line,) = self._plain(["\n"])
 
     def _plain(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.call.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, and END."""
-        if len(self.known) > KNOWN:
-            self.known.clear()
+    def _of_letters(self, words: list[str]) -> list[bytes]:
+        """The same of words of _LETTERS alone."""
+        spell = self._model.tokenize
+        return [array("I", [t.id for t in spell(x)]).tobytes() for x in (" " + " ".join(words)).translate(self.table).split(" ")[1:]] if words else []
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it."""
+        out = []
+        for lo in range(0, len(words), JOINED):
+            some = words[lo : lo + JOINED]
+            ids = np.array(self.call.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(some):  # the model joins what begins with a space to what stands before it
+                out += self._plain([" " + x for x in some])
+                continue
+            raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+            out += [raw[x:y] for x, y in zip((4 * at).tolist(), ends, strict=True)]
+        return out
+
+    def _learn(self, new: set[str]) -> list[str]:
+        """Solid words become known, and those of LONG among them are returned; others do not, as no space beside them is sure to be a cut."""
+        letters, stems, other = [], {}, []
+        for x in new:
+            if self._WORD.fullmatch(x):
+                letters.append(x)
+            elif x and x[-1] in self.marks and self._WORD.fullmatch(y := x[:-1]):
+                stems[x] = y
+            else:
+                other.append(x)
+        solid = {x for x in other if self._SOLID.fullmatch(x)}
+        lines = {x: x.split("\n") for x in solid if "\n" in x}
+        lines = {x: y for x, y in lines.items() if all(map(self._SOLID.fullmatch, y))}
+        mixed = solid.difference(lines).union(y[0] for y in lines.values()).difference(self.words)
+        ends = {x: x[:-1] for x in mixed if x[-1] in self.marks and self._MARKED.fullmatch(x)}
+        mixed = list(mixed.difference(ends).union(ends.values()).difference(self.words, letters))
+        letters += set(stems.values()).difference(self.words, letters, mixed)
+        self.words.update(zip(letters, self._of_letters(letters), strict=True))
+        self.words.update(zip(mixed, self._joined(mixed), strict=True))
+        stems |= ends
+        self.words.update({x: self.words[y] + self.marks[x[-1]] for x, y in stems.items()})
+        later = list({z for y in lines.values() for z in y[1:]})
+        ids = dict(zip(later, self._pieces(later), strict=True))
+        self.words.update({x: self.line.join([self.words[y[0]], *map(ids.__getitem__, y[1:])]) for x, y in lines.items()})
+        return [x for x in chain(letters, mixed, stems, lines) if len(x) > LONG]
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
         split = [self._CUT.split(t) for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.known)
-        words = {x for x in new if self._WORD.fullmatch(x)}
-        self.known.update({x: self._word(x) for x in words})
-        rest = list(new - words)
-        self.known.update(zip(rest, self._plain(rest), strict=True))
-        end, get = np.array([END], dtype="<u4").tobytes(), self.known.__getitem__
-        out = [np.frombuffer(b"".join([*map(get, x), end]), dtype="<u4") for x in split]
+        new = list(set(chain.from_iterable(split)).difference(self.known))
+        self.known.update(zip(new, self._plain(new), strict=True))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, x)) for x in split]
         for x in new:
             if len(x) > LONG:
                 del self.known[x]
         return out
 
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, and END."""
+        if len(self.words) + len(self.known) > KNOWN:
+            self.words.clear()
+            self.known.clear()
+        split = [t.split(" ") for t in texts]
+        heads = [x.pop(0) for x in split]  # no space stands before the first word
+        new = set(chain.from_iterable(split)).difference(self.words)
+        long = self._learn(new)
+        get, tails = self.words.__getitem__, []
+        for i, x in enumerate(split):
+            try:
+                tails.append(b"".join(map(get, x)))
+                whole = x and not self._SOLID.fullmatch(heads[i])
+            except KeyError:
+                tails.append(b"")
+                whole = True
+            if whole:
+                heads[i], tails[i] = texts[i], b""
+        for x in long:
+            self.words.pop(x, None)
+        end = np.array([END], dtype="<u4").tobytes()
+        return [np.frombuffer(b"".join((x, y, end)), dtype="<u4") for x, y in zip(self._pieces(heads), tails, strict=True)]
+
     def ids(self, text: str) -> np.ndarray:
         return self.many([text])[0]
 

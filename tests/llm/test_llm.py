@@ -187,6 +187,30 @@ def test_ids_are_those_of_the_plain_call():
         assert enc.ids(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_new_words_share_one_call():
+    from tokenizers import Tokenizer
+
+    plain, enc = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path())
+    marks = ["été", "Zu", "7", "'s", ".", "),", "\n", "\n\n", "<|endoftext|>", "\u00a0", "漢", "\u0120", "#&", "x" * 70]
+    words = ["".join(RNG.choice(marks, int(RNG.integers(1, 5)))) + str(i) for i in range(3000)] + ["".join(RNG.choice(marks, 3)) for _ in range(3000)]
+    texts = [" ".join(RNG.choice(words, 40)) for _ in range(300)] + [" a b", "a b ", "a  b", " ", "", "a\n b c", "\u00a0 a b"]
+    calls, call = [], enc.call
+
+    class Counted:
+        def encode_batch_fast(self, pieces, **options):
+            calls.append(len(pieces))
+            return call.encode_batch_fast(pieces, **options)
+
+    enc.call = Counted()
+    for lo in (0, 150):
+        for t, ids in zip(texts[lo:], enc.many(texts[lo:]), strict=True):
+            assert ids.tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2], repr(t)
+    assert not [x for x in (*enc.words, *enc.known) if len(x) > packing.LONG]
+    calls.clear()
+    enc.many([" ".join(f"q{x}" for x in RNG.integers(0, 1 << 40, 3000).tolist())])
+    assert sum(calls) <= 3  # one for the words, one for the first
+
+
 def test_pattern_plan_uses_each_piece_once():
     hist = np.zeros(1024, dtype=np.int64)
     for x in RNG.integers(1, 1024, 20000):
