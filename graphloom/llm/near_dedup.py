@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textops as X
-from graphloom.llm.idfilter import bloom, split_by
+from graphloom.llm.idfilter import bloom, may_hold
 from graphloom.operators.components import star_components
 from graphloom.plans.scratch import materialize
 
@@ -75,11 +75,18 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, s, n, bits): sorted distinct 64-bit shingle hashes of each text, how many, and their parity map."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, only: np.ndarray | None = None) -> DataFrame:
+    """(id, s, n, bits): sorted distinct 64-bit shingle hashes of each text, how many, and their parity map.
+
+    only: a filter of ids by idfilter.bloom. Rows that are not in it go here, not in a Python node of
+    their own before this one, as each such node of a stage keeps a worker beside every task.
+    """
+    ship = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if ship is not None:
+                b = b.filter(pa.array(may_hold(ship.value, b.column(0))))
             texts = X.as_bytes(b.column(1))
             for lo, hi in X.chunks(texts):
                 h, n = _sets(texts[lo:hi], shingle)
@@ -184,8 +191,9 @@ def _sets_of(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
     ids = materialize(ids, "ids")
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    some, _ = split_by(wanted, bloom(ids), "id")  # so sets are shuffled, not the texts of all documents
-    return materialize(shingle_sets(some, "id", "t", shingle).join(ids, "id", "left_semi"), "sets").where(F.size("s") > 0)
+    some = shingle_sets(wanted, "id", "t", shingle, bloom(ids))  # so only sets that may be wanted are made and shuffled
+    X.small_batches(docs.sparkSession)
+    return materialize(some.join(ids, "id", "left_semi"), "sets").where(F.size("s") > 0)
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -155,6 +155,26 @@ def test_anchors_of_blocks_are_those_of_one(monkeypatch):
     assert (repeats._lowest(g) == whole).all()
 
 
+def test_near_duplicates_have_no_two_python_nodes_in_a_stage(spark, monkeypatch):
+    plans, write = [], near_dedup.materialize
+
+    def seen(df, name="t"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(near_dedup, "materialize", seen)
+    base = prose(80)
+    near_dedup.near_duplicates(docs_of(spark, [(i, base if i % 3 == 0 else base + f" w{i}") for i in range(12)])).collect()
+    for p in plans:
+        nodes = [x for x in p.split("== Initial Plan ==")[-1].splitlines() if "MapInArrow" in x or "Exchange" in x]
+        assert not any("MapInArrow" in x and "MapInArrow" in y for x, y in zip(nodes, nodes[1:], strict=False)), p
+    docs = docs_of(spark, [(i, prose(30)) for i in range(20)] + AWKWARD)
+    some = near_dedup.bloom(docs.where("doc_id < 5").select(F.col("doc_id").alias("id")))
+    got = near_dedup.shingle_sets(docs, "doc_id", "text", 2, some).collect()
+    whole = near_dedup.shingle_sets(docs, "doc_id", "text", 2).collect()
+    assert {r.id for r in got} >= set(range(5)) and len(got) < len(whole) and all(r in whole for r in got)
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
