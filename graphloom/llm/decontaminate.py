@@ -169,7 +169,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                     t = pa.array(rows, pa.struct([("n_words", pa.int64()), ("hit_words", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]))
                     yield pa.RecordBatch.from_arrays([*part.columns[:width], t], names=names_in)
 
-        done = done.mapInArrow(run, schema)
+        done = done.mapInArrow(X.fresh(run), schema)
     return done
 
 

@@ -36,7 +36,7 @@ def bloom(ids: DataFrame, id_col: str = "id") -> np.ndarray:
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(X.i64(words[at]))], names=["at", "w"])
 
-    rows = ids.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long")).mapInArrow(run, "at long, w long").groupBy("at").agg(F.bit_or("w").alias("w")).toArrow()
+    rows = ids.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long")).mapInArrow(X.fresh(run), "at long, w long").groupBy("at").agg(F.bit_or("w").alias("w")).toArrow()
     out = np.zeros(bits // 64, dtype=X.U)
     out[np.asarray(rows.column("at"), dtype=np.int64)] = np.asarray(rows.column("w")).astype(np.int64).view(X.U)
     return out
@@ -62,6 +62,6 @@ def split_by(df: DataFrame, words: np.ndarray, id_col: str) -> tuple[DataFrame,
             for b in batches:
                 yield b.filter(pa.array(may_hold(ship.value, b.column(at)) == wanted))
 
-        return df.mapInArrow(run, df.schema)
+        return df.mapInArrow(X.fresh(run), df.schema)
 
     return part(True), part(False)

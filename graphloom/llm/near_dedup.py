@@ -93,7 +93,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, only
                 bits = _lists(_parities(h, n), np.full(hi - lo, MAP_WORDS))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), _lists(X.i64(h), n), pa.array(n), bits], names=["id", "s", "n", "bits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, s array<long>, n long, bits array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(X.fresh(run), "id long, s array<long>, n long, bits array<long>")
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: tuple[int, int], rows: tuple[int, int], seed: int) -> DataFrame:
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
                     names=["id", "n", "h1", "h2", "bands"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, n long, h1 long, h2 long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(X.fresh(run), "id long, n long, h1 long, h2 long, bands array<long>")
 
 
 def _tensor(left: int) -> object:
@@ -238,7 +238,7 @@ def confirmed_copies(copies: DataFrame, docs: DataFrame, id_col: str, text_col:
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = who.join(sets, "id").select("head", "salt", "id", "s", (F.col("id") == F.col("head")).alias("own"))
     rows = rows.repartition(parts, "head", "salt").sortWithinPartitions("head", "salt", F.desc("own")).select("head", "salt", "id", "s")
-    return rows.mapInArrow(_same_as_head, "u long, v long, same boolean").groupBy("u", "v").agg(F.max("same").alias("same"))  # an id may have several texts
+    return rows.mapInArrow(X.fresh(_same_as_head), "u long, v long, same boolean").groupBy("u", "v").agg(F.max("same").alias("same"))  # an id may have several texts
 
 
 def rarities(sets: DataFrame) -> np.ndarray:
@@ -266,7 +266,7 @@ def _plain_prefixes(sets: DataFrame, percent: int, ship: object) -> DataFrame:
             own = [b.column(k).take(at) for k in (0, 2, 3)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(X.i64(np.concatenate([np.zeros(0, dtype=X.U), *parts])))], names=["v", "n", "bits", "t"])
 
-    return sets.select(F.col("id").alias("v"), "s", "n", "bits").mapInArrow(run, "v long, n long, bits array<long>, t long")
+    return sets.select(F.col("id").alias("v"), "s", "n", "bits").mapInArrow(X.fresh(run), "v long, n long, bits array<long>, t long")
 
 
 def judged(pairs: DataFrame, sets: DataFrame, percent: int, ship: object) -> DataFrame:
@@ -285,7 +285,7 @@ def judged(pairs: DataFrame, sets: DataFrame, percent: int, ship: object) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.bool_()), *lists], names=["u", "v", "linked", "short", "long"])
 
     both = _with_sets(pairs, sets).select("u", "v", "family", "a", "b")  # ship: broadcast rarities
-    return both.mapInArrow(run, "u long, v long, linked boolean, short array<long>, long array<long>")
+    return both.mapInArrow(X.fresh(run), "u long, v long, linked boolean, short array<long>, long array<long>")
 
 
 def within_families(tried: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, ship: object) -> DataFrame:
@@ -334,9 +334,9 @@ def near_duplicates(
     sigs = materialize(signatures(docs, id_col, text_col, shingle, bands, rows, seed), "sigs")
     real = sigs.where("n > 0 AND id IS NOT NULL")
     classes = materialize(real.groupBy("h1", "h2").agg(F.min("id").alias("head"), F.first("bands").alias("bands")), "exact")
-    keys = classes.select(F.col("head").alias("id"), "bands").mapInArrow(_tensor(bands[0]), "key long, id long")
+    keys = classes.select(F.col("head").alias("id"), "bands").mapInArrow(X.fresh(_tensor(bands[0])), "key long, id long")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    live = materialize(keys.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, head long, id long"), "live")
+    live = materialize(keys.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(X.fresh(_shared), "key long, head long, id long"), "live")
     copies = real.join(classes.select("h1", "h2", "head"), ["h1", "h2"]).where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
     copies = materialize(confirmed_copies(materialize(copies, "copies"), docs, id_col, text_col, shingle), "same")
     several = live.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")

@@ -178,11 +178,11 @@ class Encoder:
         return self.many([text])[0]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = X.keep({})
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process, whose tasks share what it knows."""
+    """One per worker process, whose tasks share what it knows until a task of textops.fresh starts there."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

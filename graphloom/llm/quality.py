@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
             a, m = _views(b, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64()))], names=["key", "y", "a", "m"])
 
-    got = mine.select("key", "y", "v0", "v1", "v2", "v3").mapInArrow(run, "key long, y int, a array<double>, m array<double>").toArrow()
+    got = mine.select("key", "y", "v0", "v1", "v2", "v3").mapInArrow(X.fresh(run), "key long, y int, a array<double>, m array<double>").toArrow()
     y, keys_ = got.column("y").to_pylist(), got.column("key").to_pylist()
     a, m = (np.array(got.column(c).to_pylist(), dtype=np.float64).reshape(len(y), n) for c, n in (("a", TEXT_FEATURES), ("m", META_FEATURES)))
     turn = sorted(range(len(y)), key=lambda i: (keys_[i], a[i].tolist()))
@@ -224,4 +224,4 @@ def score(docs: DataFrame, model: Model | None, names: tuple[str, str, str, str]
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *(pa.array(v) for v in s)], names=out_names)
 
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, T.DoubleType()) for c in out)])
-    return docs.select(*kept, *extra).mapInArrow(run, schema)
+    return docs.select(*kept, *extra).mapInArrow(X.fresh(run), schema)

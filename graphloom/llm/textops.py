@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,36 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: What operators keep in a worker from one task to the next.
+_kept: list[dict] = []
+
+
+def keep(cache: dict) -> dict:
+    """From now on forget, with which tasks of fresh start, empties cache."""
+    _kept.append(cache)
+    return cache
+
+
+def forget() -> None:
+    """Empty all that is kept in this process, and give unused memory back to the system."""
+    for cache in _kept:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def fresh(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, without what other operators kept in the worker: Spark hands a worker from stage to stage, with all its memory."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        yield from run(batches)
+
+    return out
+
+
 def free_names(taken: list[str], *wanted: str) -> list[str]:
     """Column names like wanted that are not taken, whatever their case."""
     low, out = {c.lower() for c in taken}, []

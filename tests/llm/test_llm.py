@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontaminate, near_dedup, neighbours, packing, quality, repeats, secrets, toxicity, url_filter
+from graphloom.llm import chat, decontaminate, idfilter, near_dedup, neighbours, packing, quality, repeats, secrets, toxicity, url_filter
 
 RNG = np.random.default_rng(1)
 VOCAB = [f"w{i}" for i in range(4000)]
@@ -175,6 +175,28 @@ def test_near_duplicates_have_no_two_python_nodes_in_a_stage(spark, monkeypatch)
     assert {r.id for r in got} >= set(range(5)) and len(got) < len(whole) and all(r in whole for r in got)
 
 
+def test_tasks_drop_what_packing_keeps_in_their_worker(spark, monkeypatch):
+    docs, ran = docs_of(spark, [(1, "a b c"), (2, "d")]), []
+    pairs = spark.createDataFrame([(0, 1, True)], "u long, v long, family boolean")
+    some = near_dedup.bloom(docs.select(F.col("doc_id").alias("id")))
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema, *_: ran.append(run) or spark.createDataFrame([], schema))
+    sets = near_dedup.shingle_sets(docs, "doc_id", "text", 2)
+    near_dedup.signatures(docs, "doc_id", "text", 2, (2, 2), (1, 1), 1)
+    often = spark.sparkContext.broadcast(np.zeros(near_dedup.ORDER, dtype=np.int32))
+    near_dedup.judged(pairs, sets, 80, often)
+    near_dedup._plain_prefixes(sets, 80, often)
+    near_dedup.near_duplicates(docs)
+    idfilter.split_by(docs, some, "doc_id")
+    idfilter.bloom(docs, "doc_id")
+    quality.score(docs, None)
+    decontaminate.find_contamination(docs, spark.createDataFrame([("a", "x")], "item_id string, text string"))
+    assert len(ran) > 8
+    for run in ran:
+        packing.encoder(packing.tokenizer_path())
+        list(run(iter([])))
+        assert not packing._ENCODERS
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
