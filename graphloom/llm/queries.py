@@ -84,5 +84,35 @@ def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "quality_score", "text_score", "metadata_score", (F.col("quality_score") >= KEEP).alias("kept"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with planted faults, by crc32 of `conv_id:turn` modulo 20: 0 is dropped, 1 loses its text, 2 its ends of sentences, 3 comes twice, 4 is the user's. Nulls are one space."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))) % 20
+    base = rows.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return base.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.conversations import repair_report
+
+    rows = _table(spark, sf_dir, "conversations")
+    return repair_report(damaged(rows), rows)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.resample import resample
+
+    out = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=25, n=2, buckets=10000, least_words=20, seed=7)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
