@@ -113,8 +113,8 @@ ORDER = ["turn", "role", "same"]  # nulls first
 def find_edits(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv, gaps, blank, duplicate, truncated, illegal, cost, audit), one row per conversation of rows.
 
-    Rows go by turn, nulls first, then by role and text; a null role or text is one space. Rows are equal when
-    a 128-bit hash of role and text is. Texts don't leave the tasks that read them: a row becomes one byte, its
+    Rows go by turn, nulls first, then by role and a 128-bit hash of role and text, by which rows are equal; a null
+    role or text is one space. Texts don't leave the tasks that read them: a row becomes one byte, its
     role and first fault, which is all that the search needs; a conversation's bytes meet in one task.
     A null conversation id is a conversation of its own. No rows give no rows; other columns are not looked at.
     """

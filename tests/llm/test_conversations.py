@@ -97,8 +97,8 @@ def report(rows, ids):
     """All columns by plain Python."""
     out = {}
     for conv in ids:
-        mine = sorted(((t is not None, t or 0), r, x) for c, t, r, x in rows if c == conv)
-        mine = [(t[1] if t[0] else None, r, x) for t, r, x in mine]
+        mine = sorted(((t is not None, t or 0), r, hashlib.md5(f"{len(r.encode())}:{r}{x}".encode()).digest(), x) for c, t, r, x in rows if c == conv)
+        mine = [(t[1] if t[0] else None, r, x) for t, r, _, x in mine]
         seen, codes = set(), []
         for _, r, x in mine:
             body = x.strip(" \t\n\x0b\x0c\r")
