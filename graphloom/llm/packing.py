@@ -2,10 +2,10 @@
 
 Each document becomes tokens plus an end token; only documents above the capacity are cut, so that
 all pieces but the first are full. Full pieces are sequences of their own. For the others only the
-histogram of lengths (at most capacity - 1 bins) reaches the driver: patterns of two to four lengths
-that fill a sequence are enumerated, their repeat counts fitted to the histogram by non-negative
-least squares, rounded down and taken off; this repeats on what is left, and the rest is packed by
-best fit, still on the histogram. Pieces then find their place from their rank within their length:
+histogram of lengths (at most capacity - 1 bins) reaches the driver: patterns of at most four lengths
+are enumerated, their repeat counts fitted to the histogram by non-negative least squares and rounded
+down; what the fit leaves over tells which further patterns are worth a round, and the rest is packed by
+best fit, still on the histogram. The plan never has more sequences than best fit alone. Pieces then find their place from their rank within their length:
 ranks come from counts per (task, length), so no length is gathered into one task.
 
 Defined results: a null or empty text is a piece of the end token alone; every row is packed, also
@@ -31,8 +31,8 @@ from graphloom.llm import textops as X
 from graphloom.plans.scratch import materialize
 
 CAPACITY, END = 1024, 2
-#: Lengths from which patterns are enumerated in one round, and rounds at most.
-LENGTHS, ROUNDS = 160, 12
+#: Pieces of a pattern at most, rounds of patterns at most, what a sequence costs against a squared piece, and the shares of fitted counts that are tried.
+FEW, ROUNDS, PRICE, SHARES = 4, 8, 0.5, (1.0, 0.95, 0.9, 0.8, 0.6, 0.4, 0.2)
 #: Pieces of text whose ids a task keeps, and their greatest length.
 KNOWN, LONG = 1 << 19, 64
 #: New words that go through one call.
@@ -220,28 +220,51 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: i
     return base.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids)
 
 
-def _enumerated(hist: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
-    """Patterns of two to four present lengths that fill a sequence, from the most frequent lengths and their complements."""
-    present = np.flatnonzero(hist)
-    have = set(present.tolist())
-    common = sorted(present[np.argsort(-hist[present], kind="stable")][:LENGTHS].tolist(), reverse=True)
-    out = {(max(a, capacity - a), min(a, capacity - a)) for a in have if capacity - a in have}
-    pairs = [(a, b) for i, a in enumerate(common) for b in common[i:] if a + b < capacity]
-    out |= {tuple(sorted((a, b, capacity - a - b), reverse=True)) for a, b in pairs if capacity - a - b in have}
-    few = common[: LENGTHS // 3]
-    out |= {tuple(sorted((a, b, c, capacity - a - b - c), reverse=True)) for a, b in pairs if a in few and b in few for c in few if capacity - a - b - c in have}
-    return sorted(out, reverse=True)
-
-
-def fit_counts(patterns: list[tuple[int, ...]], hist: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - hist|², A[l, j] being how often pattern j has length l; multiplicative updates keep x non-negative."""
+def _priced(worth: np.ndarray, present: np.ndarray, capacity: int) -> set[tuple[int, ...]]:
+    """For each present length, the pattern of at most FEW pieces with it whose worth, summed over its pieces, is greatest; worth[l] is that of a piece of length l."""
+    value = np.maximum(worth[present], 0.0)
+    best, by = [np.zeros(capacity + 1)], []
+    for _ in range(FEW - 1):
+        top, pick = best[-1].copy(), np.zeros(capacity + 1, dtype=np.int64)
+        for l, v in zip(present.tolist(), value.tolist(), strict=True):
+            if v > 0:
+                other = best[-1][: capacity + 1 - l] + v
+                at = np.flatnonzero(other > top[l:]) + l
+                top[at], pick[at] = other[at - l], l
+        best.append(top)
+        by.append(pick)
+    out = set()
+    for l in present.tolist():
+        p, room = [l], capacity - l
+        for pick in reversed(by):
+            if pick[room]:
+                p.append(int(pick[room]))
+                room -= p[-1]
+        out.add(tuple(sorted(p, reverse=True)))
+    return out
+
+
+def fit_counts(patterns: list[tuple[int, ...]], hist: np.ndarray, start: np.ndarray, price: float = PRICE, steps: int = 400) -> np.ndarray:
+    """Repeat counts x >= 0 that minimise |A x - hist|²/2 + price * sum(x), A[l, j] being how often pattern j has length l, by accelerated projected gradients.
+
+    At the least, the residual over the price says what one more piece of each length costs in sequences.
+    """
     at = np.array([x for p in patterns for x in p])
     of = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
-    pull = np.bincount(of, hist[at].astype(float), len(patterns))
-    x = np.bincount(of, hist[at].astype(float), len(patterns)) / np.bincount(of) / 8 + 1e-9
+    made = lambda x: np.bincount(at, x[of], len(hist))
+    pull = lambda r: np.bincount(of, r[at], len(patterns))
+    v = np.ones(len(patterns))
+    for _ in range(30):
+        v = pull(made(v))
+        norm = float(np.linalg.norm(v))
+        v /= norm
+    x, y, t = start, start, 1.0
     for _ in range(steps):
-        made = np.bincount(at, x[of], len(hist))
-        x *= pull / np.maximum(np.bincount(of, made[at], len(patterns)), 1e-12)
+        new = np.maximum(y - (pull(made(y) - hist) + price) / (1.05 * norm), 0.0)
+        if float((new - x) @ (y - new)) > 0:  # the momentum points uphill
+            t = 1.0
+        up = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        x, y, t = new, new + (t - 1) / up * (new - x), up
     return x
 
 
@@ -262,24 +285,67 @@ def _best_fit(hist: np.ndarray, capacity: int) -> Iterator[Pattern]:
         yield tuple(p), n
 
 
+def least_sequences(hist: np.ndarray, capacity: int = CAPACITY) -> int:
+    """A lower bound: pieces above half a sequence stand alone, and what small ones they can't take in needs more; the greatest over all bounds of small."""
+    at = np.arange(len(hist))
+    out = -(-int((hist * at).sum()) // capacity)
+    for k in range(1, capacity // 2 + 1):
+        big, mid = (at > capacity - k), (at <= capacity - k) & (at > capacity // 2)
+        small = (at >= k) & (at <= capacity // 2)
+        room = int(hist[mid].sum()) * capacity - int((hist * at)[mid].sum())
+        out = max(out, int(hist[big | mid].sum()) + max(0, -(-(int((hist * at)[small].sum()) - room) // capacity)))
+    return out
+
+
 def plan_patterns(hist: np.ndarray, capacity: int = CAPACITY) -> list[Pattern]:
-    """(lengths, repeats) that use up the histogram, hist[l] being how many pieces have length l < capacity."""
-    hist, out = hist.astype(np.int64).copy(), []
+    """(lengths, repeats) that use up the histogram, hist[l] being how many pieces have length l < capacity.
+
+    Patterns of at most FEW pieces come first from a best fit of the histogram and then, round by round, from
+    all lengths by what the last fit's residual says a piece is worth. Rounding down leaves pieces to best fit;
+    where that makes more sequences than best fit of all does, a smaller share of the counts is taken, so that
+    more small pieces are left for the large ones.
+    """
+    hist = hist.astype(np.int64)
+    alone, present = list(_best_fit(hist.copy(), capacity)), np.flatnonzero(hist)
+    most, floor = sum(n for _, n in alone), least_sequences(hist, capacity)
+    counts: dict[tuple[int, ...], float] = {}
+    for p, n in alone:
+        if len(p) <= FEW:
+            p = tuple(sorted(p, reverse=True))
+            counts[p] = counts.get(p, 0.0) + n
+    best: list[Pattern] | None = None
     for _ in range(ROUNDS):
-        patterns = _enumerated(hist, capacity)
+        patterns = list(counts)
         if not patterns:
             break
-        x, before = fit_counts(patterns, hist), hist.sum()
-        for j in np.argsort(-x, kind="stable"):
-            need = {v: patterns[j].count(v) for v in patterns[j]}
-            n = min(int(x[j]), *(int(hist[v]) // k for v, k in need.items()))
-            if n:
-                out.append((patterns[j], n))
-                for v, k in need.items():
-                    hist[v] -= n * k
-        if before - hist.sum() < 0.01 * before:
+        x = fit_counts(patterns, hist, np.array(list(counts.values())))
+        counts = dict(zip(patterns, x.tolist(), strict=True))
+        for share in SHARES:
+            left, out = hist.copy(), []
+            for j in np.argsort(-x, kind="stable"):
+                need = {v: patterns[j].count(v) for v in patterns[j]}
+                n = min(int(share * x[j] + 1e-6), *(int(left[v]) // k for v, k in need.items()))
+                if n > 0:
+                    out.append((patterns[j], n))
+                    for v, k in need.items():
+                        left[v] -= n * k
+            out += _best_fit(left, capacity)
+            used = sum(n for _, n in out)
+            if used <= most:
+                if best is None or used < most:
+                    best, most = out, used
+                break
+        if best is not None and most == floor:
+            break
+        made = np.zeros(len(hist))
+        for p, v in counts.items():
+            for l in p:
+                made[l] += v
+        fresh = _priced((hist - made) / PRICE, present, capacity) - counts.keys()
+        if not fresh:
             break
-    return [*out, *_best_fit(hist, capacity)]
+        counts = {p: v for p, v in counts.items() if v > 0} | dict.fromkeys(fresh, 0.0)
+    return best if best is not None else alone
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -302,7 +368,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cap
         seq += n
     plan = np.array(rows, dtype=np.int64).reshape(-1, 4)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
-    # a row per slot of a pattern: below 40000 patterns a round from LENGTHS lengths, and about one for each length that best fit uses up
+    # a row per slot of a pattern: best fit uses a length up with each pattern it makes, and a round adds at most one of FEW pieces for each length
+    if plan.nbytes > 32 * capacity * (2 * capacity + FEW * ROUNDS):
+        raise ValueError(f"a plan of {plan.nbytes} bytes is too large to broadcast")
     ship = docs.sparkSession.sparkContext.broadcast(plan)
     before = F.sum("k").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     ranks = per.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))

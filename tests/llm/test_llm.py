@@ -1,6 +1,7 @@
 """Each text operator against a brute-force version or a round trip, with the awkward rows all must stand."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -12,6 +13,15 @@ from pyspark.sql import functions as F
 from graphloom.llm import chat, decontaminate, idfilter, near_dedup, neighbours, packing, quality, repeats, secrets, toxicity, url_filter
 
 RNG = np.random.default_rng(1)
+
+
+@pytest.fixture(autouse=True)
+def _own_draws(request):
+    """Each test draws from a generator of its own, whatever ran before."""
+    global RNG
+    RNG = np.random.default_rng(zlib.crc32(request.node.name.encode()))
+
+
 VOCAB = [f"w{i}" for i in range(4000)]
 
 
@@ -140,9 +150,10 @@ def test_repeats_of_equal_rows_and_hot_passages(spark):
     text, hot = prose(400), prose(60)
     rows = [(7, text)] * 300 + [(i, hot + " " + prose(20)) for i in range(100, 160)] + [(None, text), (200, prose(50))]
     got = repeats.removal_report(docs_of(spark, rows)).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert r.n_removed == (400 if r.n_words == 400 else 60 if r.n_words == 80 else 0)
+    split = [(i, t.encode().split()) for i, t in rows]
+    seen = Counter(tuple(w[i : i + 35]) for _, w in split for i in range(len(w) - 34))
+    want = [(str(d), len(w), len({j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)})) for d, w in split]
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed) for r in got) == sorted(want)
     empty = repeats.removal_report(docs_of(spark, rows).limit(0))
     assert empty.count() == 0 and empty.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
 
@@ -253,10 +264,10 @@ def test_new_words_share_one_call():
     assert sum(calls) <= 3  # one for the words, one for the first
 
 
-def test_pattern_plan_uses_each_piece_once():
-    hist = np.zeros(1024, dtype=np.int64)
-    for x in RNG.integers(1, 1024, 20000):
-        hist[x] += 1
+@pytest.mark.parametrize("kind", ["uniform", "skewed", "middle", "few", "ones", "none"])
+def test_pattern_plan_uses_each_piece_once(kind):
+    lengths = {"uniform": RNG.integers(1, 1024, 20000), "skewed": np.clip(RNG.lognormal(5, 1, 60000).astype(int), 1, 1023), "middle": RNG.integers(300, 400, 5000), "few": RNG.choice([340, 350, 700, 300, 20], 5000), "ones": np.ones(3000, dtype=int), "none": np.zeros(0, dtype=int)}[kind]
+    hist = np.bincount(lengths, minlength=1024)
     used = np.zeros(1024, dtype=np.int64)
     plan = packing.plan_patterns(hist)
     for p, n in plan:
@@ -264,8 +275,28 @@ def test_pattern_plan_uses_each_piece_once():
         for x in p:
             used[x] += n
     assert (used == hist).all()
-    bound = -(-int((hist * np.arange(1024)).sum()) // 1024)
-    assert sum(n for _, n in plan) <= 1.01 * bound
+    total, alone, bound = sum(n for _, n in plan), sum(n for _, n in packing._best_fit(hist.copy(), 1024)), packing.least_sequences(hist)
+    assert bound <= total <= alone
+    assert kind in ("middle", "few") or total <= 1.002 * bound  # theirs is no bound that can be met: three pieces of 340 leave a gap
+    assert kind != "middle" or total < 0.97 * alone
+
+
+def test_fit_is_a_least_and_priced_patterns_are_the_best():
+    hist = np.zeros(33, dtype=np.int64)
+    hist[[3, 5, 8, 11, 20, 27]] = [40, 7, 90, 12, 33, 25]
+    patterns = [(27, 5), (27, 3), (20, 11), (20, 8, 3), (8, 8, 8, 8), (11, 11, 8), (5, 5)]
+    a = np.zeros((33, len(patterns)))
+    for j, p in enumerate(patterns):
+        for v in p:
+            a[v, j] += 1
+    x = packing.fit_counts(patterns, hist, np.zeros(len(patterns)), steps=5000)
+    slope = a.T @ (a @ x - hist) + packing.PRICE
+    assert (x >= 0).all() and (slope > -1e-3).all() and (np.abs(slope[x > 1e-3]) < 1e-3).all()
+    worth = RNG.random(33)
+    some = np.array([3, 5, 8, 11, 20, 27])
+    for p in packing._priced(worth, some, 32):
+        rest = max(sum(worth[list(q)]) for k in range(packing.FEW) for q in itertools.combinations_with_replacement(some, k) if sum(q) + 27 <= 32) if 27 in p else None
+        assert sum(p) <= 32 and len(p) <= packing.FEW and (rest is None or abs(sum(worth[list(p)]) - worth[27] - rest) < 1e-12)
 
 
 def test_chat_round_trip(spark, monkeypatch):
