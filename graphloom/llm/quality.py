@@ -201,11 +201,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64()))], names=["key", "y", "a", "m"])
 
     got = mine.select("key", "y", "v0", "v1", "v2", "v3").mapInArrow(X.fresh(run), "key long, y int, a array<double>, m array<double>").toArrow()
-    y, keys_ = got.column("y").to_pylist(), got.column("key").to_pylist()
-    a, m = (np.array(got.column(c).to_pylist(), dtype=np.float64).reshape(len(y), n) for c, n in (("a", TEXT_FEATURES), ("m", META_FEATURES)))
-    turn = sorted(range(len(y)), key=lambda i: (keys_[i], a[i].tolist()))
-    lab, pool = [i for i in turn if y[i] is not None], [i for i in turn if y[i] is None]
-    return co_train((a[lab], m[lab]), np.array([float(y[i]) for i in lab]), (a[pool], m[pool]))
+    known = ~np.asarray(got.column("y").is_null()).astype(bool)
+    y, keys_ = np.asarray(got.column("y").fill_null(0)).astype(np.float64), np.asarray(got.column("key"))
+    a, m = (np.asarray(got.column(c).combine_chunks().flatten()).reshape(len(y), n) for c, n in (("a", TEXT_FEATURES), ("m", META_FEATURES)))
+    turn = np.lexsort((*a.T[::-1], keys_))
+    lab, pool = turn[known[turn]], turn[~known[turn]]
+    return co_train((a[lab], m[lab]), y[lab], (a[pool], m[pool]))
 
 
 def score(docs: DataFrame, model: Model | None, names: tuple[str, str, str, str] = NAMES, out: tuple[str, str, str] = SCORES) -> DataFrame:

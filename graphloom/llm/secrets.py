@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.textops import free_names
+from graphloom.plans.scratch import materialize
 
 _RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])(?=[0-9+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{12,}"
 #: Words after which an assigned value is a candidate.
@@ -139,10 +140,22 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
 
 def train(labelled: DataFrame, trees: int = 40, depth: int = 9, seed: int = 3) -> PipelineModel:
     """labelled: (text, label), every candidate of a text having its label."""
-    rows = featured(findings(labelled, ["label"], "text"))
+    rows = materialize(featured(findings(labelled, ["label"], "text")).select("label", *FEATURES), "features")  # the fit reads them again and again
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)]).fit(rows)
 
 
+_forests: dict[str, PipelineModel] = {}
+
+
+def own_forest(spark: SparkSession) -> PipelineModel:
+    """The forest of labelled_findings; as they never differ, an application trains it once."""
+    app = spark.sparkContext.applicationId
+    if app not in _forests:
+        _forests.clear()
+        _forests[app] = train(materialize(labelled_findings(spark), "labelled"))
+    return _forests[app]
+
+
 def _scored(rows: DataFrame, model: PipelineModel) -> DataFrame:
     """rows of findings with score and is_secret; no column of theirs may be named like a feature."""
     p = vector_to_array("probability")[1]
@@ -151,7 +164,7 @@ def _scored(rows: DataFrame, model: PipelineModel) -> DataFrame:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, labelled: DataFrame | None = None) -> DataFrame:
     """One row per candidate: id_col, nth, candidate, before, after, score, is_secret."""
-    model = train(labelled if labelled is not None else labelled_findings(docs.sparkSession))
+    model = train(labelled) if labelled is not None else own_forest(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("row_text"))
     return _scored(findings(rows, ["row_id"], "row_text"), model).withColumnRenamed("row_id", id_col)
 
@@ -162,7 +175,7 @@ def redact(docs: DataFrame, text_col: str = "text", *, labelled: DataFrame | Non
     Rows meet their findings by a hash of their text and one of SALTS numbers taken from the other
     columns, so copies of a text are not one key.
     """
-    model = train(labelled if labelled is not None else labelled_findings(docs.sparkSession))
+    model = train(labelled) if labelled is not None else own_forest(docs.sparkSession)
     may = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))  # only these texts are shuffled
     plain = [f.name for f in docs.schema.fields if f.name != text_col and f.dataType.typeName() in ("long", "integer", "string", "double", "date", "timestamp")]
     key, salt, where = free_names(docs.columns, "key", "salt", "where")
