@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
 from graphloom.kernels.csr import Csr, collect, frame, per_source
+from graphloom.operators.distances import betweenness
+from graphloom.operators.multisource import group_closeness, pivot_sums, reach_counts, top_closeness  # noqa: F401
 from graphloom.operators.structure import degrees
 from graphloom.plans.scratch import discard, materialize
 
@@ -96,10 +98,7 @@ def edge_betweenness(g: Graph, normalized: bool = False, weighted: bool = False)
 
 def estimate_betweenness(g: Graph, samples: int, normalized: bool = False, seed: int = 1) -> DataFrame:
     """(node, score) from sampled sources, scaled to all."""
-    n = g.vertices.count()
-    some = g.vertices.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(samples).select("id")
-    scale = n / max(min(samples, n), 1)
-    return weighted_betweenness(g, normalized, some, weighted=False).select("node", (F.col("score") * scale).alias("score"))
+    return betweenness(g, normalized, g.vertices.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(samples).select("id"))
 
 
 def _diameter_bound(g: Graph) -> int:
@@ -199,56 +198,14 @@ def approx_closeness(g: Graph, samples: int, normalized: bool = False, seed: int
     """(node, score): 1 over the estimated sum of distances, exact at sampled pivots; far nodes take their nearest pivot's sum, near ones a scaled one. Connected undirected graphs."""
     n = g.vertices.count()
     some = materialize(g.vertices.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(samples).select("id"), "pivots")
-    rows = materialize(per_source(g, some, lambda c, u: [(int(c.ids[u]), int(c.ids[v]), int(x)) for v, x in enumerate(c.bfs([u]).tolist()) if x >= 0], "pivot long, node long, d long"), "pivot-d")
-    own = rows.groupBy("pivot").agg(F.sum("d").alias("exact"))
-    near = rows.groupBy("node").agg(F.sum("d").alias("s"), F.count("*").alias("k"), F.min(F.struct("d", "pivot")).alias("m")).join(own, F.col("m.pivot") == own["pivot"])
+    rows = materialize(pivot_sums(g, some), "pivot-sums")
+    own = reach_counts(g, some).groupBy(F.col("source").alias("nearest")).agg(F.sum(F.col("hop") * F.col("nodes")).alias("exact"))
+    near = rows.join(own, "nearest")
     # the mean of two estimates: the pivots' distances scaled up, and the nearest pivot's exact sum
-    total = F.when(F.col("m.d") == 0, F.col("exact")).otherwise((F.col("s") * n / F.col("k") + F.col("exact")) / 2)
+    total = F.when(F.col("hops") == 0, F.col("exact")).otherwise((F.col("total") * n / F.col("pivots") + F.col("exact")) / 2)
     return near.select("node", F.when(total > 0, (n - 1 if normalized else 1) / total).otherwise(0.0).alias("score"))
 
 
-def top_closeness(g: Graph, k: int = 1, harmonic: bool = False) -> DataFrame:
-    """(node, score): exactly the k best (with ties to smaller ids). Each task keeps its own k best and gives up a search once a bound, the nodes at the next hop and beyond, can't reach them."""
-    import pandas as pd
-
-    spark = g.vertices.sparkSession
-    c = collect(g)
-    ship = spark.sparkContext.broadcast(c)
-
-    def run(frames):
-        c = ship.value
-        best: list[tuple[float, int]] = []  # (score, -id), the least first
-        for f in frames:
-            for u in sorted(c.index(f["id"].tolist()), key=lambda v: -(c.ptr[v + 1] - c.ptr[v])):
-                dist, front, hop, reached = np.full(c.n, -1), np.array([u]), 0, 1
-                dist[u], total = 0, 0.0
-                floor = best[0][0] if len(best) == k else -1.0
-                while len(front):
-                    hop += 1
-                    front = c.around(front)
-                    front = front[dist[front] < 0]
-                    dist[front] = hop
-                    reached += len(front)
-                    total += len(front) / hop if harmonic else len(front) * hop
-                    left = c.n - reached
-                    if harmonic:
-                        bound = (total + left / (hop + 1)) / max(c.n - 1, 1)
-                    else:
-                        bound = (c.n - 1) / (total + left * (hop + 1)) if total + left else 0.0
-                        bound = max(bound, (reached - 1) ** 2 / max(total, 1e-300) / (c.n - 1)) if c.n > 1 else 0.0
-                    if bound < floor - 1e-12:
-                        break
-                else:
-                    score = total / max(c.n - 1, 1) if harmonic else ((reached - 1) ** 2 / total / (c.n - 1) if total else 0.0)
-                    heapq.heappush(best, (score, -int(c.ids[u])))
-                    if len(best) > k:
-                        heapq.heappop(best)
-        yield pd.DataFrame([(-i, s) for s, i in best], columns=["node", "score"])
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return g.vertices.select("id").repartition(parts, "id").mapInPandas(run, "node long, score double").orderBy(F.desc("score"), "node").limit(k)
-
-
 def k_path(g: Graph, alpha: float = 0.2, k: int | None = None, seed: int = 1) -> DataFrame:
     """(node, score): how often random simple walks of up to k steps pass a node, k n times the share; walks are dealt out."""
     import pandas as pd
@@ -444,38 +401,12 @@ def group_degree(g: Graph, k: int = 1, count_group: bool = True) -> DataFrame:
     return frame(g, chosen, "position int, node long")
 
 
-def _group_gain(dist: np.ndarray, d: np.ndarray, harmonic: bool, n: int) -> float:
-    if harmonic:
-        inv = lambda x: np.where(x > 0, 1.0 / np.maximum(x, 1), 0.0)
-        both = np.where((d >= 0) & ((dist < 0) | (d < dist)), d, dist)
-        return float(inv(both).sum())
-    far = np.where(dist < 0, n, dist)
-    return float(np.maximum(far - np.where(d < 0, n, d), 0).sum())
-
-
 def _score_of(dist: np.ndarray, harmonic: bool, n: int) -> float:
     if harmonic:
         return float(np.where(dist > 0, 1.0 / np.maximum(dist, 1), 0.0).sum())
     return -float(np.where(dist < 0, n, dist).sum())
 
 
-def group_closeness(g: Graph, k: int = 1, harmonic: bool = False) -> DataFrame:
-    """(position, node): greedily the group with the least sum of distances (largest sum of 1 / distance); each round's gains are computed per node in tasks."""
-    c = collect(g)
-    dist, chosen = np.full(c.n, -1), []
-    for i in range(min(k, c.n)):
-        taken, now = set(chosen), dist.copy()
-
-        def run(c: Csr, u: int, taken=taken, now=now) -> list[tuple]:
-            return [] if u in taken else [(u, _group_gain(now, c.bfs([u]), harmonic, c.n))]
-
-        top = per_source(g, None, run, "row long, gain double", c).orderBy(F.desc("gain"), "row").first()
-        chosen.append(top["row"])
-        d = c.bfs([top["row"]])
-        dist = np.where((dist < 0) | ((d >= 0) & (d < dist)), d, dist)
-    return frame(g, [(i, c.ids[u]) for i, u in enumerate(chosen)], "position int, node long")
-
-
 def group_value(g: Graph, group: list[int], harmonic: bool = False) -> float:
     """n over the sum of distances to the group (unreached nodes at n), or the sum of 1 / distance."""
     c = collect(g)

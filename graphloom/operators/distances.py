@@ -1,7 +1,7 @@
 """Measures of shortest paths from many sources: distances, closeness, betweenness, eccentricity.
 
-Every operator takes sources(id); None means all nodes. Work and tables grow with sources times reached
-nodes, so large graphs take a sample of sources. Paths count hops; parallel edges count as paths of their own.
+Every operator takes sources(id); None means all nodes. Work grows with sources, 63 of which go together where only
+counts are asked for, and tables of distances with sources times reached nodes, so large graphs take a sample of sources. Paths count hops; parallel edges count as paths of their own.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.operators.multisource import reach_counts
 from graphloom.plans.scratch import materialize
 
 
@@ -42,7 +43,7 @@ def closeness(g: Graph, normalized: bool = False, generalized: bool = False, sou
     Generalized, for graphs of several components: (reached - 1)^2 / (sum (n - 1)), reached counting the node itself.
     """
     n = g.vertices.count()
-    d = distances(g, sources).groupBy(F.col("source").alias("node")).agg(F.sum("distance").cast("double").alias("s"), F.count("*").alias("reached"))
+    d = reach_counts(g, sources).groupBy(F.col("source").alias("node")).agg(F.sum(F.col("hop") * F.col("nodes")).cast("double").alias("s"), F.sum("nodes").alias("reached"))
     if generalized:
         score = (F.col("reached") - 1) * (F.col("reached") - 1) / F.col("s") / max(n - 1, 1)
     else:
@@ -53,13 +54,13 @@ def closeness(g: Graph, normalized: bool = False, generalized: bool = False, sou
 def harmonic_closeness(g: Graph, normalized: bool = True, sources: DataFrame | None = None) -> DataFrame:
     """(node, score) of the sources: the sum of 1 / distance, over n - 1 if normalized."""
     n = max(g.vertices.count() - 1, 1) if normalized else 1
-    each = F.when(F.col("distance") > 0, 1.0 / F.col("distance")).otherwise(0.0)
-    return distances(g, sources).groupBy(F.col("source").alias("node")).agg((F.sum(each) / n).alias("score"))
+    each = F.when(F.col("hop") > 0, F.col("nodes") / F.col("hop")).otherwise(0.0)
+    return reach_counts(g, sources).groupBy(F.col("source").alias("node")).agg((F.sum(each) / n).alias("score"))
 
 
 def eccentricity(g: Graph, sources: DataFrame | None = None) -> DataFrame:
     """(node, eccentricity) of the sources: the distance of the farthest node reached."""
-    return distances(g, sources).groupBy(F.col("source").alias("node")).agg(F.max("distance").alias("eccentricity"))
+    return reach_counts(g, sources).groupBy(F.col("source").alias("node")).agg(F.max("hop").alias("eccentricity"))
 
 
 def diameter(g: Graph) -> DataFrame:
@@ -69,7 +70,7 @@ def diameter(g: Graph) -> DataFrame:
 
 def distance_distribution(g: Graph, sources: DataFrame | None = None) -> DataFrame:
     """(distance, pairs): ordered pairs of different nodes by distance."""
-    return distances(g, sources).where("distance > 0").groupBy("distance").agg(F.count("*").alias("pairs"))
+    return reach_counts(g, sources).where("hop > 0").groupBy(F.col("hop").alias("distance")).agg(F.sum("nodes").alias("pairs"))
 
 
 def betweenness(g: Graph, normalized: bool = False, sources: DataFrame | None = None) -> DataFrame:

@@ -1,11 +1,12 @@
 """Paths, searches and distance measures beyond plain breadth-first search and shortest paths.
 
-Single-source measures are relational rounds. Those that start from many nodes run per source over a
-broadcast graph of checked size (kernels.csr.MAX_EDGES).
+Single-source measures are relational rounds, and so are counts of hops from many nodes (multisource). What else
+starts from many nodes runs per source over a broadcast graph of checked size (kernels.csr.MAX_EDGES).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from graphloom.graph import Graph
 from graphloom.kernels.csr import Csr, TooLarge, collect, frame, per_source
 from graphloom.operators.iterative import bfs, connected_components, shortest_paths
+from graphloom.operators.multisource import reach_counts
 from graphloom.operators.structure import transpose
 from graphloom.plans.scratch import discard, materialize
 
@@ -274,12 +276,7 @@ def label_distances(labels: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def neighbourhood_function(g: Graph, sources: DataFrame | None = None) -> DataFrame:
     """(distance, pairs): ordered pairs of different nodes at most so far apart, over sources(id) or all."""
-
-    def run(c: Csr, u: int) -> list[tuple]:
-        d = c.bfs([u])
-        return [(int(h), int(k)) for h, k in enumerate(np.bincount(d[d > 0])) if h]
-
-    counts = per_source(g, sources, run, "distance int, k long").groupBy("distance").agg(F.sum("k").alias("k"))
+    counts = reach_counts(g, sources).where("hop > 0").groupBy(F.col("hop").alias("distance")).agg(F.sum("nodes").alias("k"))
     upto = Window.orderBy("distance").rowsBetween(Window.unboundedPreceding, 0)  # one row per distance
     return counts.select("distance", F.sum("k").over(upto).alias("pairs"))
 
@@ -293,14 +290,10 @@ def sampled_neighbourhood_function(g: Graph, k: int, seed: int = 1) -> DataFrame
 
 def effective_diameter(g: Graph, ratio: float = 0.9) -> DataFrame:
     """One row: the mean over nodes of the least hops within which ratio of all nodes lie, the node itself included; nodes that reach fewer are left out."""
-
-    def run(c: Csr, u: int) -> list[tuple]:
-        d = c.bfs([u])
-        far = np.cumsum(np.bincount(d[d >= 0]))
-        at = np.flatnonzero(far >= np.ceil(ratio * c.n))
-        return [(int(at[0]),)] if len(at) else []
-
-    return per_source(g, None, run, "hops int").agg(F.avg("hops").alias("effective_diameter"))
+    n = g.vertices.count()
+    within = F.sum("nodes").over(Window.partitionBy("source").orderBy("hop"))  # as many rows as hops
+    first = reach_counts(g).withColumn("within", within).where(F.col("within") >= math.ceil(ratio * n)).groupBy("source").agg(F.min("hop").alias("hops"))
+    return first.agg(F.avg("hops").alias("effective_diameter"))
 
 
 def _sketched(g: Graph, k: int, r: int, seed: int, rounds: int) -> list[DataFrame]:
@@ -388,10 +381,11 @@ def diameter_range(g: Graph, error: float = 0.0) -> DataFrame:
 def mean_ball(g: Graph, radius: float, samples: int | None = None, seed: int = 1, weighted: bool = False) -> DataFrame:
     """One row: nodes within radius of a centre, averaged over sampled centres or all."""
     some = None if samples is None else g.vertices.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(samples).select("id")
+    if not weighted:
+        return reach_counts(g, some, int(radius)).groupBy("source").agg(F.sum("nodes").alias("k")).agg(F.avg("k").alias("nodes"))
 
     def run(c: Csr, u: int) -> list[tuple]:
-        d = c.dijkstra([u])[0] if weighted else c.bfs([u], int(radius)).astype(float)
-        return [(int(((d >= 0) & (d <= radius)).sum()),)]
+        return [(int((c.dijkstra([u])[0] <= radius).sum()),)]
 
     return per_source(g, some, run, "k long").agg(F.avg("k").alias("nodes"))
 
@@ -401,7 +395,7 @@ def reachable_nodes(g: Graph) -> DataFrame:
     if not g.directed:
         c = materialize(connected_components(g), "comp")
         return c.join(c.groupBy("component").agg(F.count("*").alias("reachable")), "component").select("node", "reachable")
-    return per_source(g, None, lambda c, u: [(int(c.ids[u]), int((c.bfs([u]) >= 0).sum()))], "node long, reachable long")
+    return reach_counts(g).groupBy(F.col("source").alias("node")).agg(F.sum("nodes").alias("reachable"))
 
 
 def adamic_adar_distance(g: Graph) -> DataFrame:
