@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, co_purchase, trade
-from graphloom.graph_queries import CP, PART, TR, TRI, _simple, brands
+from graphloom.graph_queries import CP, CP2, PART, TR, TRI, _simple, brands, strong
 from graphloom.operators import algebra as A
 from graphloom.operators import centralities as C
 from graphloom.operators import community as M
@@ -325,3 +325,18 @@ _on("flow_maximum", lambda g, s, d: s.createDataFrame([(B.maximum_flow(g, CUSTOM
 _simple("structure_is_planar", territory, B.is_planar, "SELECT true AS planar")
 _simple("clique_maximal", territory, lambda g: B.maximal_cliques(g).select(F.element_at("clique", 1).alias("a"), F.element_at("clique", 2).alias("b")), TER + " SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM e")
 _simple("components_union_maximum_forest", territory, B.union_maximum_forest, TER + " SELECT src, dst, weight FROM e")
+
+
+# Counts of hops on the co-purchases of weight 2 or more: a graph with cycles, many components and paths of many hops.
+_HOPS = CP2 + """, w(a, b, k) USING KEY (a, b) AS (SELECT id, id, 0 FROM v UNION (SELECT w.a, s.v, min(w.k + 1) FROM w JOIN s ON s.u = w.b
+  LEFT JOIN recurring.w r ON r.a = w.a AND r.b = s.v WHERE r.a IS NULL GROUP BY w.a, s.v)), n AS (SELECT count(*) AS n FROM v)"""
+_simple("distance_neighbourhood_function_strong", strong, X.neighbourhood_function, _HOPS + " SELECT k AS distance, CAST(sum(count(*)) OVER (ORDER BY k) AS BIGINT) AS pairs FROM w WHERE k > 0 GROUP BY k")
+_simple("distance_effective_diameter_strong", strong, lambda g: X.effective_diameter(g, 0.5), _HOPS + """, c AS (SELECT a, k, sum(count(*)) OVER (PARTITION BY a ORDER BY k) AS c FROM w GROUP BY a, k)
+  SELECT avg(h) AS effective_diameter FROM (SELECT a, min(k) AS h FROM c, n WHERE c >= ceil(0.5 * n) GROUP BY a)""")
+_simple("distance_mean_ball_strong", strong, lambda g: X.mean_ball(g, 3), _HOPS + " SELECT avg(c) AS nodes FROM (SELECT count(*) AS c FROM w WHERE k <= 3 GROUP BY a)")
+_simple("centrality_top_closeness_strong", strong, lambda g: C.top_closeness(g, 10), _HOPS + ", q AS (SELECT a AS node, coalesce((count(*) - 1) * (count(*) - 1) / nullif(CAST(sum(k) AS DOUBLE), 0) / (any_value(n) - 1), 0.0) AS score FROM w, n GROUP BY a) SELECT node, score FROM q ORDER BY round(score, 12) DESC, node LIMIT 10")
+_simple("centrality_top_harmonic_strong", strong, lambda g: C.top_closeness(g, 10, harmonic=True), _HOPS + ", q AS (SELECT a AS node, sum(CASE WHEN k > 0 THEN 1.0 / k ELSE 0.0 END) / (any_value(n) - 1) AS score FROM w, n GROUP BY a) SELECT node, score FROM q ORDER BY round(score, 12) DESC, node LIMIT 10")
+_simple("centrality_group_closeness_strong", strong, lambda g: C.group_closeness(g, 2), _HOPS + """, f AS (SELECT a, sum(n - k) AS gain FROM w, n GROUP BY a), one AS (SELECT a FROM f ORDER BY gain DESC, a LIMIT 1),
+  near AS (SELECT v.id, coalesce(w.k, n) AS d FROM v CROSS JOIN one CROSS JOIN n LEFT JOIN w ON w.a = one.a AND w.b = v.id),
+  two AS (SELECT w.a FROM w JOIN near ON near.id = w.b WHERE w.a NOT IN (SELECT a FROM one) GROUP BY w.a ORDER BY sum(greatest(d - k, 0)) DESC, w.a LIMIT 1)
+  SELECT CAST(0 AS INT) AS position, a AS node FROM one UNION ALL SELECT 1, a FROM two""")
