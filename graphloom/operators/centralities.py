@@ -401,6 +401,11 @@ def group_degree(g: Graph, k: int = 1, count_group: bool = True) -> DataFrame:
     return frame(g, chosen, "position int, node long")
 
 
+def _group_gain(dist: np.ndarray, d: np.ndarray, n: int) -> float:
+    """By how much a node with distances d lessens the sum of distances to the group, unreached nodes at n."""
+    return float(np.maximum(np.where(dist < 0, n, dist) - np.where(d < 0, n, d), 0).sum())
+
+
 def _score_of(dist: np.ndarray, harmonic: bool, n: int) -> float:
     if harmonic:
         return float(np.where(dist > 0, 1.0 / np.maximum(dist, 1), 0.0).sum())
@@ -438,7 +443,7 @@ def local_search_group(g: Graph, group: list[int], swaps: int = 100, grow: int =
                 dist = c.bfs(new)
                 out = [v for v in range(c.n) if v not in new]
                 if out:
-                    new.append(max(out, key=lambda v: _group_gain(dist, c.bfs([v]), False, c.n)))
+                    new.append(max(out, key=lambda v: _group_gain(dist, c.bfs([v]), c.n)))
             while len(new) > len(own):
                 new.remove(max(new, key=lambda v: value([x for x in new if x != v])))
             if value(new) > best + 1e-9:
