@@ -442,20 +442,7 @@ def commute_distance(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
     return frame(g, list(zip(c.ids[a].tolist(), c.ids[b].tolist(), d.tolist(), strict=True)), "u long, v long, distance double")
 
 
-# components
-
-
-def biconnected_components(g: Graph) -> DataFrame:
-    """(node, component) of undirected graphs, cut nodes in several; components are named by their least edge. On the driver."""
-    from graphloom.kernels.order import biconnected
-
-    c = collect(g)
-    rows = []
-    for part in biconnected(c):
-        nodes = sorted({int(c.ids[x]) for e in part for x in e})
-        rows += [(v, nodes[0], nodes[1]) for v in nodes]
-    parts = {k: i for i, k in enumerate(sorted({(tuple(sorted(r[1:]))) for r in rows}))}
-    return frame(g, sorted({(v, parts[(a, b)]) for v, a, b in rows}), "node long, component long")
+# components; biconnected ones are in blocks
 
 
 def component_sizes(components: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.graph import Graph, co_purchase, trade
 from graphloom.graph_queries import CP, CP2, PART, TR, TRI, _simple, brands, strong
 from graphloom.operators import algebra as A
+from graphloom.operators import blocks as K
 from graphloom.operators import centralities as C
 from graphloom.operators import community as M
 from graphloom.operators import edge_scores as E
@@ -172,7 +173,9 @@ _simple("distance_approximate_effective_diameter", supply, X.approximate_effecti
 _simple("distance_algebraic", supply, X.algebraic_distance, None)
 _simple("distance_commute", supply, X.commute_distance, None)
 _on("components_sizes", lambda g, s, d: X.component_sizes(I.connected_components(g)), TER + f", c AS (SELECT n_regionkey AS r, min(n_nationkey) AS m, count(*) AS k FROM nation GROUP BY 1) SELECT CAST(m AS BIGINT) AS component, 1 + k + (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = r) + (SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = r) AS size FROM c", territory)
-_simple("components_biconnected", territory, lambda g: X.biconnected_components(g).groupBy("node").agg(F.count("*").alias("parts")), TER + " SELECT node, degree AS parts FROM d")
+_simple("components_biconnected", territory, lambda g: K.biconnected_components(g).groupBy("node").agg(F.count("*").alias("parts")), TER + " SELECT node, degree AS parts FROM d")
+_simple("components_biconnected_strong", strong, lambda g: K.biconnected_components(g.materialized()).groupBy("node").agg(F.count("*").alias("parts")), CP2 + """, r AS (SELECT u AS n, v AS a, v AS x FROM s UNION SELECT r.n, r.a, s.v FROM r JOIN s ON s.u = r.x WHERE s.v <> r.n),
+  f AS (SELECT n, a, min(x) FILTER (WHERE EXISTS (SELECT 1 FROM s WHERE s.u = n AND s.v = x)) AS least FROM r GROUP BY n, a) SELECT n AS node, count(*) AS parts FROM f WHERE a = least GROUP BY n""")
 _simple("components_territory", territory, I.connected_components, TER + ", c AS (SELECT n_regionkey AS r, min(n_nationkey) AS m FROM nation GROUP BY 1), n AS (SELECT n_nationkey AS k, CAST(m AS BIGINT) AS m FROM nation JOIN c ON r = n_regionkey)" + f" SELECT CAST(r AS BIGINT) + {REGIONS} AS node, CAST(m AS BIGINT) AS component FROM c UNION ALL SELECT CAST(k AS BIGINT), m FROM n UNION ALL SELECT c_custkey + {CUSTOMERS}, m FROM customer JOIN n ON k = c_nationkey UNION ALL SELECT s_suppkey + {SUPPLIERS}, m FROM supplier JOIN n ON k = s_nationkey")
 
 # centrality

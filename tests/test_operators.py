@@ -11,6 +11,7 @@ from graphloom.graph import Graph
 from graphloom.kernels import modularity as MK
 from graphloom.kernels.csr import TooLarge, collect
 from graphloom.operators import algebra as A
+from graphloom.operators import blocks as K
 from graphloom.operators import centralities as C
 from graphloom.operators import community as M
 from graphloom.operators import distances as D
@@ -275,7 +276,7 @@ def test_event_stream(spark, tmp_path):
 def test_parts_and_order(spark):
     bow = graph(spark, [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 2), (4, 5)])
     parts = {}
-    for r in X.biconnected_components(bow).collect():
+    for r in K.biconnected_components(bow).collect():
         parts.setdefault(r.component, set()).add(r.node)
     assert {frozenset(p) for p in parts.values()} == {frozenset({0, 1, 2}), frozenset({2, 3, 4}), frozenset({4, 5})}
     with pytest.raises(ValueError):
