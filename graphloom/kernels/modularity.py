@@ -122,10 +122,10 @@ def map_equation(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray) ->
     return plogp(np.array([q.sum()])) - 2 * plogp(q) - plogp(p) + plogp(q + vol)
 
 
-def louvain_map(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int, rounds: int = 32) -> np.ndarray:
+def louvain_map(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int, rounds: int = 32, levels: int = LEVELS) -> np.ndarray:
     """Communities by single moves that shorten the map equation, level by level."""
     at, c0 = np.arange(n), None
-    for _ in range(LEVELS):
+    for _ in range(levels):
         k, total = totals(u, v, w, n)
         if not total:
             break

@@ -130,10 +130,11 @@ def better_of(g: Graph, p: DataFrame, q: DataFrame, gamma: float = 1.0) -> DataF
     return p if a >= b else q
 
 
-def louvain_map_equation(g: Graph) -> DataFrame:
-    """(node, community) that shorten the two-level map equation; graphs of at most kernels.csr.MAX_EDGES edges."""
-    c = collect(g)
-    return _named(g, c, M.louvain_map(c.src, c.dst, c.weight, c.n))
+def louvain_map_equation(g: Graph, hierarchical: bool = True) -> DataFrame:
+    """(node, community) that shorten the two-level map equation; without hierarchical, by moves of single nodes only."""
+    from graphloom.operators.codelength import shortened
+
+    return shortened(g, hierarchical)
 
 
 def _named(g: Graph, csr, c: np.ndarray) -> DataFrame:

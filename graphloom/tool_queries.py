@@ -18,6 +18,7 @@ from graphloom.operators import partitions as P
 from graphloom.operators import paths as X
 from graphloom.operators import prediction as L
 from graphloom.operators import toolbox as T
+from graphloom.operators.codelength import shortened
 from graphloom.registry import query
 
 CUSTOMERS, SUPPLIERS, REGIONS = 10**12, 2 * 10**12, 3 * 10**12
@@ -221,6 +222,8 @@ for _name, _f in {"louvain": M.louvain, "leiden": M.leiden, "agglomerative": M.a
     _simple(f"community_{_name}", co_purchase, lambda g, f=_f: (lambda h: _good(h, f(h)))(g.materialized()), CP + _ok)
 _simple("community_louvain_refined", co_purchase, lambda g: (lambda h: _good(h, M.louvain(h, refine=True)))(g.materialized()), CP + _ok)
 _simple("community_map_equation", territory, lambda g: (lambda h: _good(h, M.louvain_map_equation(h)))(g.materialized()), TER + _ok)
+# the level of single nodes in tables, what it leaves on the driver
+_simple("community_map_equation_strong", strong, lambda g: (lambda h: _good(h, shortened(h, local=1500)))(g.materialized()), CP2 + _ok)
 _simple("community_label_propagation_by_degree", territory, lambda g: (lambda h: _good(h, M.label_propagation_by_degree(h)))(g.materialized()), TER + _ok)
 _simple("community_spectral", supply, lambda g: P.partition_kind(g, M.spectral_partition(g, 4)).select("proper"), "SELECT true AS proper")
 _simple("community_cut_clustering", supply, lambda g: P.partition_kind(g, M.cut_clustering(g, 5.0)).select("proper"), "SELECT true AS proper")
