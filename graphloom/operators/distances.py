@@ -73,25 +73,31 @@ def distance_distribution(g: Graph, sources: DataFrame | None = None) -> DataFra
     return reach_counts(g, sources).where("hop > 0").groupBy(F.col("hop").alias("distance")).agg(F.sum("nodes").alias("pairs"))
 
 
-def betweenness(g: Graph, normalized: bool = False, sources: DataFrame | None = None) -> DataFrame:
-    """(node, score): dependencies summed over ordered pairs, over (n - 1)(n - 2) if normalized.
+def dependencies(g: Graph, sources: DataFrame | None = None) -> DataFrame:
+    """(source, node, distance, paths, own) of all nodes that each source reaches: own is the share of the source's shortest paths that pass through the node, 0 for the source itself.
 
-    With sampled sources the sums are scaled by n over their number. Dependencies flow back one level at a
-    time: each level is one join along the arcs into the level before.
+    Shares flow back one level at a time: each level is one join along the arcs into the level before.
     """
-    n = g.vertices.count()
     arcs, levels = _levels(g, sources)
-    took = levels[0].count()
-    scale = (n / took if took else 1.0) / ((n - 1) * (n - 2) if normalized and n > 2 else 1)
-    below, parts = None, []
-    for level in reversed(levels[1:]):
-        here = level.withColumn("own", F.lit(0.0))
+    below, parts = None, [levels[0].select("source", "node", F.lit(0).alias("distance"), "paths", F.lit(0.0).alias("own"))]
+    for h in range(len(levels) - 1, 0, -1):
+        here = levels[h].withColumn("own", F.lit(0.0))
         if below is not None:
             back = arcs.join(below.withColumnRenamed("node", "v"), "v").groupBy("source", F.col("u").alias("node")).agg(F.sum((1 + F.col("own")) / F.col("paths")).alias("back"))
-            here = level.join(back, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("back", F.lit(0.0))).alias("own"))
+            here = levels[h].join(back, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("back", F.lit(0.0))).alias("own"))
         below = materialize(here, "dependency")
-        parts.append(below.select("node", "own"))
-    if not parts:
-        return g.vertices.select(F.col("id").alias("node"), F.lit(0.0).alias("score"))
-    sums = reduce(DataFrame.union, parts).groupBy("node").agg(F.sum("own").alias("own"))
+        parts.append(below.select("source", "node", F.lit(h).alias("distance"), "paths", "own"))
+    return reduce(DataFrame.union, parts)
+
+
+def betweenness(g: Graph, normalized: bool = False, sources: DataFrame | None = None) -> DataFrame:
+    """(node, score): dependencies summed over ordered pairs, over (n - 1)(n - 2) if normalized.
+
+    With sampled sources the sums are scaled by n over their number.
+    """
+    n = g.vertices.count()
+    rows = dependencies(g, sources)
+    took = n if sources is None else rows.where("distance = 0").count()
+    scale = (n / took if took else 1.0) / ((n - 1) * (n - 2) if normalized and n > 2 else 1)
+    sums = rows.groupBy("node").agg(F.sum("own").alias("own"))
     return g.vertices.withColumnRenamed("id", "node").join(sums, "node", "left").select("node", (F.coalesce("own", F.lit(0.0)) * scale).alias("score"))

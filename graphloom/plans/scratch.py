@@ -21,10 +21,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="graphloom-"))
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df to the shared folder and read it back, so that nothing upstream runs twice."""
+def materialize(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+    """Write df to the shared folder, a folder for each value of column by, and read it back, so that nothing upstream runs twice."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
