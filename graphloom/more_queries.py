@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, co_purchase
-from graphloom.graph_queries import CP, _simple
+from graphloom.graph_queries import CP, CP2, _simple
 from graphloom.operators import generators as G
 from graphloom.operators import local as S
 from graphloom.operators import paths as X
 from graphloom.operators import randomize as R
 from graphloom.operators.structure import degrees
+from graphloom.plans.scratch import materialize
 from graphloom.registry import query
+from graphloom.streaming import kept as K
 from graphloom.streaming import updates as U
 from graphloom.tool_queries import _SMALL, PUR, SUP, purchases, small, supply
 
@@ -156,6 +158,58 @@ def dynamics_distances(spark, sf_dir) -> DataFrame:
     return d.result
 
 
+# Strong co-purchases without the last week's orders; then these come, then those of the first week are cancelled.
+_WEEKS = CP2.replace("FROM lineitem a JOIN lineitem b", "FROM lineitem a JOIN orders ON o_orderkey = a.l_orderkey AND o_orderdate >= (SELECT min(o_orderdate) FROM orders) + INTERVAL 7 DAY JOIN lineitem b")
+_PATHS = _WEEKS + """, w(a, b, k, p) USING KEY (a, b) AS (SELECT id, id, 0, CAST(1 AS DOUBLE) FROM v UNION (SELECT w.a, s.v, min(w.k + 1), sum(w.p) FROM w JOIN s ON s.u = w.b
+  LEFT JOIN recurring.w r ON r.a = w.a AND r.b = s.v WHERE r.a IS NULL GROUP BY w.a, s.v))"""
+
+
+def _weeks(spark, sf_dir) -> tuple[U.Watched, list[DataFrame]]:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey")
+    ends = o.agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last")).first()
+    early = F.col("o_orderdate") < F.lit(ends["first"]) + F.expr("INTERVAL 7 DAYS")
+    late = F.col("o_orderdate") > F.lit(ends["last"]) - F.expr("INTERVAL 7 DAYS")
+    a = li.join(o, "l_orderkey").select("l_orderkey", F.col("l_partkey").cast("long").alias("src"), early.alias("early"), late.alias("late"))
+    pairs = a.join(li.select("l_orderkey", F.col("l_partkey").cast("long").alias("dst")), "l_orderkey").where("src > dst")
+    k = materialize(pairs.groupBy("src", "dst").agg(F.count_if(~F.col("late")).alias("before"), F.count("*").alias("between"), F.count_if(~F.col("early")).alias("after")).where("between >= 2"), "weeks")
+
+    def events(kind: str, which: str) -> DataFrame:
+        return k.where(which).select(F.monotonically_increasing_id().alias("seq"), F.lit(kind).alias("type"), F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1.0).alias("w"))
+
+    v = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("id"))
+    g = Graph(v, k.where("before >= 2").select("src", "dst", F.lit(1.0).alias("weight")))
+    return U.Watched(g), [events("EDGE_ADDITION", "before < 2"), events("EDGE_REMOVAL", "after < 2")]
+
+
+def _followed(name: str, make, sql: str | None, look) -> None:
+    """The result of what make(watched) keeps up, after both weeks."""
+
+    def run(spark, sf_dir) -> DataFrame:
+        watched, batches = _weeks(spark, sf_dir)
+        kept = make(watched).run()
+        for b in batches:
+            watched.apply(b)
+        return look(kept.result)
+
+    query(name, sql)(run)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("node", (F.round("score", 6) + 0.0).alias("score"))
+
+
+_followed("dynamics_betweenness_strong", K.KeptBetweenness, _PATHS + """, z(k, a, b, p, own) AS (SELECT k, a, b, p, CAST(0 AS DOUBLE) FROM w WHERE k = (SELECT max(k) FROM w) UNION ALL
+  SELECT w.k, w.a, w.b, w.p, coalesce(sum(w.p / c.p * (1 + c.own)), 0.0) FROM (SELECT DISTINCT k FROM z) m JOIN w ON w.k = m.k - 1 LEFT JOIN (SELECT s.u, z.a, z.p, z.own FROM s JOIN z ON z.b = s.v) c ON c.u = w.b AND c.a = w.a GROUP BY 1, 2, 3, 4)
+  SELECT b AS node, round(coalesce(sum(own) FILTER (k > 0), 0.0), 6) + 0.0 AS score FROM z GROUP BY b""", _rounded)
+_followed("dynamics_betweenness_of_node_strong", lambda w: K.KeptBetweennessOf(w, 1), _PATHS + """ SELECT CAST(1 AS BIGINT) AS node, round(coalesce(sum(f.p * t.p / w.p), 0.0), 6) + 0.0 AS score
+  FROM w JOIN w f ON f.a = w.a AND f.b = 1 JOIN w t ON t.a = 1 AND t.b = w.b WHERE w.a <> 1 AND w.b <> 1 AND f.k + t.k = w.k""", _rounded)
+_followed("dynamics_top_harmonic_strong", lambda w: K.KeptTopHarmonic(w, 10), _PATHS + """, q AS (SELECT a AS node, sum(CASE WHEN k > 0 THEN 1.0 / k ELSE 0.0 END) AS score FROM w GROUP BY a)
+  SELECT node, round(score / ((SELECT count(*) FROM v) - 1), 6) + 0.0 AS score FROM q ORDER BY round(q.score, 9) DESC, node LIMIT 10""", _rounded)
+_followed("dynamics_top_katz_strong", lambda w: K.KeptKatz(w, 10, alpha=0.005), _WEEKS + """, r(l, node, x) AS (SELECT 0, id, CAST(1 AS DOUBLE) FROM v UNION ALL SELECT l + 1, s.u, sum(x) FROM r JOIN s ON s.v = r.node WHERE l < 30 GROUP BY l, s.u)
+  SELECT node FROM (SELECT node, sum(x * pow(0.005, l)) AS score FROM r GROUP BY node) ORDER BY round(score - 1, 12) DESC, node LIMIT 10""", lambda df: df.select("node"))
+
+
 # files: what is written is read back
 _BACK = PUR + " SELECT src, dst, weight FROM e"
 _PLAIN = SUP + " SELECT src, dst, weight FROM e"

@@ -201,3 +201,198 @@ class KeptBetweennessOf(KeptBetweenness):
     def _scores(self, g: Graph) -> DataFrame:
         total = self._sums.agg(F.coalesce(F.sum("own"), F.lit(0.0)).alias("score"))
         return total.select(F.lit(self._node).cast("long").alias("node"), "score").join(g.vertices.select(F.col("id").alias("node")), "node", "left_semi")
+
+
+def _transposed(g: Graph) -> Graph:
+    return Graph(g.vertices, g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), True) if g.directed else g
+
+
+def _reaching(g: Graph, ends: DataFrame) -> DataFrame:
+    """(node, end, distance) of the nodes from which each of ends(node) is reached."""
+    d = distances(_transposed(g), ends.select(F.col("node").alias("id")))
+    return materialize(d.select("node", F.col("source").alias("end"), "distance"), "reaching")
+
+
+class KeptTopHarmonic(Algorithm):
+    """(node, score): exactly the k nodes of greatest harmonic closeness over n - 1 of a watched graph, ties to smaller ids.
+
+    Kept is (node, most, exact): a bound of the sum of 1 / distance, which is the sum itself once a node was searched
+    from. Batches of nodes are searched from, the greatest bounds first, until the k best sums exceed all bounds. Arcs
+    that go leave a bound as it is, and exact unless they concern the node. Arcs (u, v) that come add at most what the
+    nodes at j hops from v gain when they are reached by u, for each j. searched is the number of searches of the last
+    batch. The rows that weigh a batch grow with its arcs times the nodes that reach them.
+    """
+
+    def __init__(self, watched: Watched, k: int = 1, batch: int = 1024):
+        super().__init__(self._whole)
+        self._watched, self._k, self._batch, self.searched = watched, k, batch, 0
+        watched.register(self.update)
+
+    def _whole(self) -> DataFrame:
+        from graphloom.operators.iterative import connected_components
+
+        self._graph = g = self._watched.graph
+        comp = materialize(connected_components(g), "comp")
+        size = comp.groupBy("component").agg(F.count("*").alias("size"))
+        self._bounds = materialize(self._first(g, comp.join(size, "component").select("node", "size")), "bounds")
+        return self._settled(g)
+
+    @staticmethod
+    def _first(g: Graph, size: DataFrame) -> DataFrame:
+        """Bounds of nodes(node, size) that reach size nodes at most: neighbours at one hop, all else at two."""
+        degree = g.arcs().where("u <> v").select("u", "v").distinct().groupBy(F.col("u").alias("node")).agg(F.count("*").alias("degree"))
+        most = F.coalesce("degree", F.lit(0)) + (F.col("size") - 1 - F.coalesce("degree", F.lit(0))) / 2.0
+        return size.join(degree, "node", "left").select("node", most.cast("double").alias("most"), F.lit(False).alias("exact"))
+
+    def _put(self, bounds: DataFrame) -> None:
+        old, self._bounds = self._bounds, materialize(bounds, "bounds")
+        discard(old)
+
+    def _settled(self, g: Graph) -> DataFrame:
+        from graphloom.operators.multisource import reach_counts
+
+        n, spark, self.searched = g.vertices.count(), g.vertices.sparkSession, 0
+        while True:
+            rank = [F.round("most", 12).desc(), F.col("node")]
+            best = self._bounds.where("exact").orderBy(*rank).limit(self._k).collect()
+            floor = best[-1]["most"] if best and len(best) == self._k else -1.0
+            lot = materialize(self._bounds.where(~F.col("exact") & (F.col("most") >= floor - 1e-9)).orderBy(*rank).limit(self._batch).select("node"), "lot")
+            took = lot.count() if self._k > 0 else 0
+            if not took:
+                return spark.createDataFrame([(r["node"], r["most"] / max(n - 1, 1)) for r in best], "node long, score double")
+            self.searched += took
+            each = F.when(F.col("hop") > 0, F.col("nodes") / F.col("hop")).otherwise(0.0)
+            found = reach_counts(g, lot.select(F.col("node").alias("id"))).groupBy(F.col("source").alias("node")).agg(F.sum(each).alias("x"))
+            both = self._bounds.join(found, "node", "left")
+            self._put(both.select("node", F.coalesce("x", "most").alias("most"), (F.col("exact") | F.col("x").isNotNull()).alias("exact")))
+
+    def update(self, g: Graph, events: DataFrame) -> None:
+        """The result after a batch; nothing before run()."""
+        if not self.has_finished():
+            return
+        old, changed = self._graph, changes(self._graph, g, events)
+        gone, come = changed.where("sign = -1"), changed.where("sign = 1")
+        doubt: list[DataFrame] = []
+        between = old
+        if not gone.isEmpty():
+            at = _reaching(old, _ends(gone)).select(F.col("node").alias("source"), F.col("end").alias("node"), "distance")
+            doubt.append(concerned(gone, at))
+            lost = gone.select(F.col("u").alias("src"), F.col("v").alias("dst"))  # both directions of undirected edges
+            between = Graph(old.vertices, materialize(old.edges.join(lost, ["src", "dst"], "left_anti"), "edges"), old.directed)
+        between = Graph(old.vertices.select("id").union(g.vertices.select("id")).distinct(), between.edges, old.directed)
+        bounds = self._bounds.join(g.vertices.select(F.col("id").alias("node")), "node", "left_semi")
+        fresh = g.vertices.select(F.col("id").alias("node")).join(self._bounds, "node", "left_anti")
+        bounds = bounds.union(self._first(g, fresh.select("node", F.lit(g.vertices.count()).alias("size"))))
+        if not come.isEmpty():
+            gain = materialize(self._gains(between, g, come.select("u", "v")), "gain")
+            doubt.append(gain.select(F.col("node").alias("source")))
+            bounds = bounds.join(gain, "node", "left").select("node", (F.col("most") + F.coalesce("gain", F.lit(0.0))).alias("most"), "exact")
+        if doubt:
+            unsure = reduce(DataFrame.union, doubt).distinct().select(F.col("source").alias("node"), F.lit(True).alias("unsure"))
+            bounds = bounds.join(unsure, "node", "left").select("node", "most", (F.col("exact") & F.col("unsure").isNull()).alias("exact"))
+        self._put(bounds)
+        self._graph, self._result = g, self._settled(g)
+
+    @staticmethod
+    def _gains(before: Graph, after: Graph, arcs: DataFrame) -> DataFrame:
+        """(node, gain) of the nodes that arcs(u, v) bring nearer to some v: no less than what they gain in all.
+
+        A node t that comes nearer is reached by a last new arc (u, v) and j old hops, at the new distance of u, one and
+        j; before, it was no farther than v and j.
+        """
+        from graphloom.operators.multisource import reach_counts
+
+        to_u = _reaching(after, arcs.select(F.col("u").alias("node")).distinct()).select("node", F.col("end").alias("u"), F.col("distance").alias("du"))
+        to_v = _reaching(before, arcs.select(F.col("v").alias("node")).distinct()).select("node", F.col("end").alias("v"), F.col("distance").alias("dv"))
+        near = arcs.join(to_u, "u").join(to_v, ["node", "v"], "left").where("node <> v AND (dv IS NULL OR du + 1 < dv)")
+        near = materialize(near.groupBy("node", "v", "dv").agg(F.min("du").alias("du")), "near")
+        beyond = reach_counts(before, arcs.select(F.col("v").alias("id")).distinct()).select(F.col("source").alias("v"), "hop", "nodes")
+        worth = F.col("nodes") * (1 / (F.col("du") + 1 + F.col("hop")) - F.coalesce(1 / (F.col("dv") + F.col("hop")), F.lit(0.0)))
+        kinds = near.select("v", "du", "dv").distinct().join(beyond, "v").groupBy("v", "du", "dv").agg(F.sum(worth).alias("x"))
+        same = (near["v"] == kinds["v"]) & (near["du"] == kinds["du"]) & near["dv"].eqNullSafe(kinds["dv"])
+        return near.join(kinds, same).groupBy("node").agg(F.sum("x").alias("gain"))
+
+
+class KeptKatz(Algorithm):
+    """(node, lower, upper): bounds of the k greatest Katz centralities of a watched graph, greatest first, ties to smaller ids; walks of l steps count alpha^l, as top_katz has it.
+
+    Kept are the numbers of walks of each length from each node. A batch changes those of one step at the arcs it
+    brings or takes, and those of each further step at the arcs into what changed before: only these differences are
+    joined with arcs. Lengths are added while the k best are not apart from the others, or by more than tol from their
+    own bounds. alpha is 1 / (1 + the largest degree) unless given; where a batch brings a degree that alpha doesn't
+    bear, all is counted anew if it wasn't given, and refused if it was. moved is the number of differences of the last batch.
+    """
+
+    def __init__(self, watched: Watched, k: int, alpha: float | None = None, tol: float = 1e-9, longest: int = 100):
+        super().__init__(self._whole)
+        self._watched, self._k, self._given, self._tol, self._longest, self.moved = watched, k, alpha, tol, longest, 0
+        watched.register(self.update)
+
+    def _top(self, g: Graph) -> int:
+        return self._arcs.groupBy("u").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
+
+    def _read(self, g: Graph) -> None:
+        self._graph, self._arcs = g, materialize(g.arcs().where("u <> v").select("u", "v").distinct(), "arcs")
+        self._degree = self._top(g)
+
+    def _whole(self) -> DataFrame:
+        self._read(self._watched.graph)
+        self._alpha = self._given or 1.0 / (1 + self._degree)
+        if self._alpha * self._degree >= 1:
+            raise ValueError(f"alpha must be below 1 / {self._degree}")
+        self._walks = materialize(self._graph.vertices.select(F.col("id").alias("node"), F.array(F.lit(1.0)).alias("walks")), "walks")
+        self._length = 0
+        return self._settled()
+
+    def _put(self, walks: DataFrame) -> None:
+        old, self._walks = self._walks, materialize(walks, "walks")
+        discard(old)
+
+    def _onward(self, rows: DataFrame) -> DataFrame:
+        """(node, x): sums of x of rows(node, x) over the arcs that lead to them."""
+        return self._arcs.join(rows.select(F.col("node").alias("v"), "x"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("x").alias("x"))
+
+    def _settled(self) -> DataFrame:
+        a, top = self._alpha, self._degree
+        while True:
+            lower = F.expr(f"aggregate(walks, struct(0.0D AS s, 1.0D AS f), (m, x) -> struct(m.s + m.f * x AS s, m.f * {a!r}D AS f), m -> m.s)") - 1.0
+            last = F.element_at("walks", -1) * float(a**self._length)
+            bounded = self._walks.select("node", lower.alias("lower"), (lower + last * (a * top / (1 - a * top))).alias("upper"))
+            best = bounded.orderBy(F.round("lower", 12).desc(), "node").limit(self._k + 1).collect()
+            named = best[: self._k]
+            rest = bounded.orderBy(F.desc("upper")).limit(self._k + 1).collect()
+            others = max((r["upper"] for r in rest if r["node"] not in {b["node"] for b in named}), default=0.0)
+            width = max((b["upper"] - b["lower"] for b in best), default=0.0)
+            if width <= self._tol or self._length >= self._longest or (len(best) > self._k and named and named[-1]["lower"] >= others):
+                return bounded.sparkSession.createDataFrame([(r["node"], r["lower"], r["upper"]) for r in named], "node long, lower double, upper double")
+            more = self._onward(self._walks.select("node", F.element_at("walks", -1).alias("x")))
+            self._put(self._walks.join(more, "node", "left").select("node", F.array_append("walks", F.coalesce("x", F.lit(0.0))).alias("walks")))
+            self._length += 1
+
+    def update(self, g: Graph, events: DataFrame) -> None:
+        """The result after a batch; nothing before run()."""
+        if not self.has_finished():
+            return
+        changed = changes(self._graph, g, events)
+        fresh = materialize(g.vertices.select(F.col("id").alias("node")).join(self._walks, "node", "left_anti"), "fresh")
+        stale, width = self._arcs, self._length + 1
+        self._read(g)
+        discard(stale)
+        if self._alpha * self._degree >= 1:
+            self._result = self._whole()
+            return
+        at = self._walks.select(F.col("node").alias("v"), "walks")
+        moves = materialize(changed.join(at, "v").select(F.col("u").alias("node"), F.posexplode(F.transform("walks", lambda x: x * F.col("sign"))).alias("level", "x")), "moves")  # by old walks
+        moves = moves.where(F.col("level") < self._length).select("node", (F.col("level") + 1).alias("level"), "x")
+        steps = [materialize(fresh.select("node", F.lit(1.0).alias("x")), "step")]
+        for level in range(1, width):
+            here = self._onward(steps[-1]).union(moves.where(F.col("level") == level).select("node", "x"))
+            steps.append(materialize(here.groupBy("node").agg(F.sum("x").alias("x")).where("x <> 0"), "step"))
+        rows = reduce(DataFrame.union, [s.select("node", F.lit(i).alias("level"), "x") for i, s in enumerate(steps)])
+        delta = materialize(rows.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("level", "x"))).alias("delta"), F.count("*").alias("k")), "delta")
+        self.moved = delta.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+        every = self._walks.join(g.vertices.select(F.col("id").alias("node")), "node", "left_semi").union(fresh.select("node", F.array_repeat(F.lit(0.0), width).alias("walks")))
+        added = F.transform("walks", lambda x, i: x + F.coalesce(F.try_element_at(F.col("delta"), i), F.lit(0.0)))
+        self._put(every.join(delta, "node", "left").select("node", F.when(F.col("delta").isNull(), F.col("walks")).otherwise(added).alias("walks")))
+        discard(moves, delta, *steps)
+        self._result = self._settled()

@@ -121,3 +121,64 @@ def test_sample_of_sources_and_edges_that_concern_none(spark):
     want = {v: 6 * x for v, x in search(now, 0)[2].items()}
     assert {r.node: r.score for r in some.result.where("node < 4").collect()} == pytest.approx(want)
     assert every.searched == 2 and some.searched == 1 and absent.result.isEmpty()  # 1 and 3 are as far from 0 as from 2
+
+
+def harmonic(pairs, nodes, directed):
+    arcs = arcs_of(pairs, directed)
+    return {s: sum(1 / d for d in search(arcs, s)[0].values() if d) / (len(nodes) - 1) for s in nodes}
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_top_harmonic_follows_batches(spark, directed):
+    rng, pairs = drawn(21 + directed, 40, 70, directed)
+    nodes = set(range(42))
+    watched = U.Watched(graph(spark, pairs, nodes, directed))
+    top = K.KeptTopHarmonic(watched, 4, batch=6).run()
+    rounds = [(None, pairs, nodes), *batches(rng, pairs, nodes, directed, 1 if directed else 4)]
+    for i, (events, now, there) in enumerate(rounds):
+        if events:
+            watched.apply(spark.createDataFrame(events, EVENTS))
+        want = harmonic(now, there, directed)
+        best = sorted(want, key=lambda x: (-round(want[x], 9), x))[:4]
+        assert [(r.node, pytest.approx(r.score)) for r in top.result.collect()] == [(x, want[x]) for x in best]
+        assert top.searched < len(there) and (i != 4 or top.searched == 0)
+        bounds = {r.node: r for r in top._bounds.collect()}
+        assert set(bounds) == there
+        for x, b in bounds.items():
+            exact = want[x] * (len(there) - 1)
+            assert b.most >= exact - 1e-9 and (not b.exact or b.most == pytest.approx(exact))
+
+
+def katz(pairs, nodes, directed, alpha):
+    order = sorted(nodes)
+    at = {x: i for i, x in enumerate(order)}
+    a = np.zeros((len(order), len(order)))
+    for u, vs in arcs_of(pairs, directed).items():
+        for v in vs:
+            a[at[u], at[v]] = 1
+    return dict(zip(order, np.linalg.solve(np.eye(len(order)) - alpha * a, np.ones(len(order))) - 1, strict=True))
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_katz_follows_batches(spark, directed):
+    rng, pairs = drawn(31 + directed, 30, 60, directed)
+    nodes = set(range(32))
+    watched = U.Watched(graph(spark, pairs, nodes, directed))
+    top = K.KeptKatz(watched, 5, alpha=0.06, longest=30).run()
+    with pytest.raises(ValueError):
+        K.KeptKatz(watched, 5, alpha=0.5).run()
+    rounds = [(None, pairs, nodes), *batches(rng, pairs, nodes, directed, 2 if directed else 4)]
+    for i, (events, now, there) in enumerate(rounds):
+        if events:
+            watched.apply(spark.createDataFrame(events, EVENTS))
+        want = katz(now, there, directed, 0.06)
+        got = top.result.collect()
+        assert all(r.lower - 1e-9 <= want[r.node] <= r.upper + 1e-9 for r in got)
+        assert {r.node for r in got} == set(sorted(want, key=lambda x: (-round(want[x], 9), x))[:5])
+        assert i != 4 or top.moved == 0
+        walks, arcs = {x: [1.0] for x in there}, arcs_of(now, directed)
+        for _ in range(top._length):
+            last = {x: w[-1] for x, w in walks.items()}
+            for x, w in walks.items():
+                w.append(sum(last[v] for v in arcs.get(x, ())))
+        assert {r.node: list(r.walks) for r in top._walks.collect()} == walks
