@@ -33,3 +33,13 @@ def test_k_core_only_peels(spark, monkeypatch):
                 if core[a] >= k and core[b] >= k:
                     comp[a] = comp[b] = min(comp[a], comp[b])
         assert {r.node: r.community for r in M.k_core_communities(g, k).collect()} == comp
+
+
+def test_ranks_number_different_values_only(spark, monkeypatch):
+    whole, rows = T.numbered, []
+    monkeypatch.setattr(T, "numbered", lambda df, *a, **k: rows.append(df.count()) or whole(df, *a, **k))
+    monkeypatch.setattr(T, "RANKS", 3)
+    x = [float(v) for v in [1] * 50 + [2] * 7 + [0, 5, 5, 9, 8, 7, 7, 7, -1]]
+    got = T.ranked(spark.createDataFrame([(v,) for v in x], "value double")).collect()
+    assert sorted((r.value, r["rank"]) for r in got) == sorted((v, sum(y < v for y in x) + (x.count(v) + 1) / 2) for v in x)
+    assert rows == [len(set(x))]
