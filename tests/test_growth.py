@@ -43,3 +43,14 @@ def test_ranks_number_different_values_only(spark, monkeypatch):
     got = T.ranked(spark.createDataFrame([(v,) for v in x], "value double")).collect()
     assert sorted((r.value, r["rank"]) for r in got) == sorted((v, sum(y < v for y in x) + (x.count(v) + 1) / 2) for v in x)
     assert rows == [len(set(x))]
+
+
+def test_many_links_are_not_sorted_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(L, "FEW", 3)
+    rng = random.Random(1)
+    s = [(u, v, float(rng.randrange(4))) for u in range(12) for v in range(12)]
+    df = spark.createDataFrame(s, "u long, v long, score double")
+    for k in (0, 3, 50, 144):
+        out = L.links_by_count(df, k)
+        assert sorted(map(tuple, out.collect())) == sorted((u, v) for u, v, _ in sorted(s, key=lambda r: (-r[2], r[0], r[1]))[:k])
+    assert "Limit" not in L.links_by_count(df, 50)._jdf.queryExecution().optimizedPlan().toString()
