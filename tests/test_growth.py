@@ -54,3 +54,13 @@ def test_many_links_are_not_sorted_in_one_task(spark, monkeypatch):
         out = L.links_by_count(df, k)
         assert sorted(map(tuple, out.collect())) == sorted((u, v) for u, v, _ in sorted(s, key=lambda r: (-r[2], r[0], r[1]))[:k])
     assert "Limit" not in L.links_by_count(df, 50)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_partitions_grow_with_rows(spark, monkeypatch):
+    from graphloom.plans import spread
+
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, co_purchase(spark, d).edges.collect()))
+    monkeypatch.setattr(spread, "ROWS", 500)
+    e = co_purchase(spark, d).edges
+    assert e.rdd.getNumPartitions() >= 20 and sorted(map(tuple, e.collect())) == want
