@@ -64,3 +64,15 @@ def test_partitions_grow_with_rows(spark, monkeypatch):
     monkeypatch.setattr(spread, "ROWS", 500)
     e = co_purchase(spark, d).edges
     assert e.rdd.getNumPartitions() >= 20 and sorted(map(tuple, e.collect())) == want
+
+
+def test_contacts_grow_with_rows(spark, monkeypatch):
+    from graphloom.plans import spread
+
+    g, _ = _graph(spark)
+    want = sorted(map(tuple, R.seir(g, 3, 0.5, 1, 2, 0).collect()))
+    monkeypatch.setattr(spread, "ROWS", 10)
+    plans, keep = [], R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, name="t", by=None: plans.append((name, df.rdd.getNumPartitions())) or keep(df, name, by))
+    assert sorted(map(tuple, R.seir(g, 3, 0.5, 1, 2, 0).collect())) == want
+    assert dict(plans)["arcs"] > 4
