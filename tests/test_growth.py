@@ -76,3 +76,11 @@ def test_contacts_grow_with_rows(spark, monkeypatch):
     monkeypatch.setattr(R, "materialize", lambda df, name="t", by=None: plans.append((name, df.rdd.getNumPartitions())) or keep(df, name, by))
     assert sorted(map(tuple, R.seir(g, 3, 0.5, 1, 2, 0).collect())) == want
     assert dict(plans)["arcs"] > 4
+
+
+def test_masks_are_not_broadcast(spark, monkeypatch):
+    g, _ = _graph(spark)
+    plans, keep = [], X.materialize
+    monkeypatch.setattr(X, "materialize", lambda df, name="t", by=None: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or keep(df, name, by))
+    X.approximate_neighbourhood_function(g).collect()
+    assert len(plans) > 2 and not any("BroadcastHashJoin" in p for n, p in plans if n == "anf")
