@@ -1,5 +1,6 @@
 """Searches from many sources by masks, against plain searches on random graphs with cycles, several components and more sources than a mask holds."""
 
+import math
 from collections import Counter, deque
 
 import numpy as np
@@ -118,3 +119,35 @@ def test_no_graph_is_broadcast(spark):
     assert S.reach_counts(none).count() == 0 and S.top_closeness(none, 3).count() == 0 and S.group_closeness(none, 2).count() == 0
     assert "Python" not in X.effective_diameter(g)._jdf.queryExecution().toString()
     assert C.approx_closeness(g, 10).where(F.col("score") < 0).count() == 0
+
+
+def test_balls_without_searches_from_leaves(spark, monkeypatch):
+    e = [(1, 0), (2, 0), (3, 0), (4, 3), (5, 4), (6, 4), (9, 8), (12, 10), (12, 11), (13, 12), (14, 13), (13, 11)]
+    g = Graph(spark.range(16), spark.createDataFrame([(a, b, 1.0) for a, b in e], "src long, dst long, weight double"))
+    near = {v: {b if a == v else a for a, b in e if v in (a, b)} for v in range(16)}
+    whole, asked = S.placed, []
+    monkeypatch.setattr(S, "placed", lambda x: asked.append({r.id for r in x.collect()}) or whole(x))
+    for r in (2, 3, 4):
+        asked.clear()
+        assert X.mean_ball(g, r).first()[0] == pytest.approx(sum(sum(h <= r for h in search(near, s).values()) for s in near) / 16)
+        assert asked == [{0, 3, 4, 7, 8, 11, 12, 13, 15}]
+    none = Graph(g.vertices.limit(0), g.edges.limit(0))
+    assert X.mean_ball(none, 2).first()[0] is None
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_effective_diameter_searches_only_where_enough_is_near(spark, monkeypatch, directed):
+    e = [(a, b) for a in range(12) for b in range(a) if a - b < 3 or b == 0] + [(a + 100, 100) for a in range(1, 8)]
+    g = Graph(spark.range(12).union(spark.range(100, 108)), spark.createDataFrame([(a, b, 1.0) for a, b in e], "src long, dst long, weight double"), directed)
+    nodes = [*range(12), *range(100, 108)]
+    near = {v: {b for a, b in e if a == v} | (set() if directed else {a for a, b in e if b == v}) for v in nodes}
+    whole, asked = S.placed, []
+    monkeypatch.setattr(S, "placed", lambda x: asked.append({r.id for r in x.collect()}) or whole(x))
+    for ratio in (0.2, 0.45, 0.6) if not directed else (0.01, 0.3, 0.7):
+        need = max(math.ceil(ratio * 20), 1)
+        first = [min((h for h in range(20) if sum(x <= h for x in search(near, s).values()) >= need), default=None) for s in nodes]
+        first = [h for h in first if h is not None]
+        asked.clear()
+        assert X.effective_diameter(g, ratio).first()[0] == (pytest.approx(sum(first) / len(first)) if first else None)
+        assert not any(len(near[v]) + 1 >= need for a in asked for v in a) and (need <= 8 or not any(v >= 100 for a in asked for v in a))
+        assert need <= 12 or not asked
