@@ -6,6 +6,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, co_purchase
 from graphloom.operators import community as M
@@ -84,3 +85,38 @@ def test_masks_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(X, "materialize", lambda df, name="t", by=None: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or keep(df, name, by))
     X.approximate_neighbourhood_function(g).collect()
     assert len(plans) > 2 and not any("BroadcastHashJoin" in p for n, p in plans if n == "anf")
+
+
+def _simple_and_same_degrees(before, after, directed=False):
+    a, b = ([(r.src, r.dst) for r in e.collect()] for e in (before, after))
+    assert all(x != y and (directed or x > y) for x, y in b) and len(set(b)) == len(b) == len(a) and set(a) != set(b)
+    count = lambda e, i: sorted(x[i] for x in e)
+    if directed:
+        assert count(a, 0) == count(b, 0) and count(a, 1) == count(b, 1)
+    else:
+        assert sorted(x for e in a for x in e) == sorted(x for e in b for x in e)
+
+
+def test_switches_and_trades_in_tables(spark, monkeypatch):
+    g, e = _graph(spark, 31, 0.3)
+    monkeypatch.setattr(R, "LOCAL_EDGES", 10)
+    monkeypatch.setattr(R, "collect", lambda g: pytest.fail("the graph comes to the driver"))
+    weighed = Graph(g.vertices, g.edges.withColumn("weight", F.col("src") * 1.0))
+    h = R.edge_switching(weighed, 2.5)
+    _simple_and_same_degrees(g.edges, h.edges)
+    assert sorted(r.weight for r in h.edges.collect()) == sorted(float(a) for a, _, _ in e)
+    arcs = Graph(g.vertices, g.edges.where("(src + dst) % 2 = 0").union(g.edges.where("src % 3 = 0").select("dst", "src", "weight")).distinct(), directed=True)
+    _simple_and_same_degrees(arcs.edges, R.edge_switching(arcs, 2.0).edges, directed=True)
+    t = R.global_curveball(g, 2, shuffle=False)
+    _simple_and_same_degrees(g.edges, t.edges)
+    assert {(r.src, r.dst) for r in t.edges.collect()} == {(r.src, r.dst) for r in R.global_curveball(g, 2, shuffle=False).edges.collect()}
+
+
+def test_switches_and_trades_of_graphs_that_allow_none(spark, monkeypatch):
+    monkeypatch.setattr(R, "LOCAL_EDGES", 0)
+    whole = [(a, b, 1.0) for a in range(5) for b in range(a)]
+    g = Graph(spark.range(7), spark.createDataFrame(whole, "src long, dst long, weight double"))
+    for h in (R.edge_switching(g, 1.0), R.global_curveball(g, 1, shuffle=False)):
+        assert h.edges.count() == 10
+    star = Graph(spark.range(5), spark.createDataFrame([(a, 0, 1.0) for a in range(1, 5)], "src long, dst long, weight double"))
+    assert {(r.src, r.dst) for r in R.edge_switching(star, 2.0).edges.collect()} == {(a, 0) for a in range(1, 5)}
