@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.graph import Graph, co_purchase
 from graphloom.operators import community as M
 from graphloom.operators import iterative as I
+from graphloom.operators import matchings as B
 from graphloom.operators import paths as X
 from graphloom.operators import prediction as L
 from graphloom.operators import randomize as R
@@ -87,6 +88,16 @@ def test_masks_are_not_broadcast(spark, monkeypatch):
     assert len(plans) > 2 and not any("BroadcastHashJoin" in p for n, p in plans if n == "anf")
 
 
+def test_equal_weights_do_not_wait_for_one_another(spark, monkeypatch):
+    rows = [(i + 1, i, 1.0) for i in range(60)]
+    g, written, whole = Graph(spark.range(61), spark.createDataFrame(rows, "src long, dst long, weight double")), [], B.materialize
+    monkeypatch.setattr(B, "materialize", lambda df, name="t", by=None: written.append(name) or whole(df, name, by))
+    got = [(r.src, r.dst) for r in B.b_matching(g).collect()]
+    assert written.count("won") < 15  # by ids, 30 rounds
+    taken = {x for e in got for x in e}
+    assert len(taken) == 2 * len(got) and all(a in taken or b in taken for a, b, _ in rows)
+
+
 def _simple_and_same_degrees(before, after, directed=False):
     a, b = ([(r.src, r.dst) for r in e.collect()] for e in (before, after))
     assert all(x != y and (directed or x > y) for x, y in b) and len(set(b)) == len(b) == len(a) and set(a) != set(b)
