@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,22 @@ def test_long_lists_in_steps(monkeypatch):
     monkeypatch.setattr(meets, "WEDGES", 1)
     assert meets._triangle_task("triples")(lists, held).to_pydict() == rows
     assert whole["nodes"] == meets._triangle_task("nodes")(lists, held).num_rows
+
+
+def test_lists_travel_packed():
+    rng = np.random.default_rng(2)
+    lists = [np.sort(rng.integers(-(10**k), 10**k, n)) for k in range(1, 19) for n in (0, 1, 50)] + [np.array([-(2**63), -1, 0, 2**63 - 1])]
+    lengths, values = np.array([len(x) for x in lists]), np.concatenate(lists)
+    t = pa.table({"near": meets._packed(lengths, values)}).slice(1)
+    back = meets._unpacked(t, "near")
+    assert back[0].tolist() == lengths[1:].tolist() and back[1].tolist() == values.tolist()
+    near = np.sort(rng.choice(20000, (100, 60)), axis=1)
+    assert meets._packed(np.full(100, 60), near.reshape(-1)).nbytes < 60 * 100 * 4 / 2
+
+
+def test_graphs_are_built_once(spark):
+    e = spark.range(200).select((F.col("id") % 19 + 20).alias("src"), (F.col("id") % 7).alias("dst"), F.lit(1.0).alias("weight")).distinct()
+    e = e.union(spark.range(6).select(F.col("id") + 1, "id", F.lit(1.0)))
+    g = Graph(spark.range(40), e)
+    for name, out in (("by_triangles", E.by_triangles(g, 1).edges), ("simmelian_parametric", E.simmelian_parametric(g, 3, 1).edges), ("chance_corrected", E.chance_corrected(g)), ("local_similarity", E.local_similarity(g))):
+        assert "Range (0, 200" not in out._jdf.queryExecution().optimizedPlan().toString(), name
