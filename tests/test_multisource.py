@@ -83,6 +83,17 @@ def test_pruned_searches_reach_less(spark, monkeypatch):
     assert sum(begun) < g.vertices.count() / 2
 
 
+@pytest.mark.parametrize("harmonic", [False, True])
+def test_leaves_of_small_stars_are_not_searched_from(spark, monkeypatch, harmonic):
+    """Trees of a root, hubs and leaves: a leaf of a large tree promises less than the root of a small one, once its hub's degree is known."""
+    rows = [e for t, k in ((0, 9), (1000, 8)) for h in range(t + 1, t + 6) for e in [(t, h), *((h, h * 10 + 10000 + i) for i in range(k))]]
+    g = Graph.from_edges(spark.createDataFrame(rows, "src long, dst long"))
+    begun, real = [], S.placed
+    monkeypatch.setattr(S, "placed", lambda s: begun.append(s.count()) or real(s))
+    got = [r.node for r in S.top_closeness(g, 2, harmonic, batch=15).collect()]
+    assert got == [0, 1000] and sum(begun) < g.vertices.count() / 2
+
+
 @pytest.mark.parametrize("harmonic", [False, True])
 def test_groups_are_greedy(spark, harmonic):
     g, near = drawn(spark, 3, 70, 250)
