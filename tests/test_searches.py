@@ -85,3 +85,22 @@ def test_searches_take_no_loop_over_arcs():
     for s in range(5):
         C._levels(c, s)
     assert time.process_time() - began < 0.5  # a loop takes about a second for each
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_weighted_closeness_without_searches_from_leaves(spark, directed, monkeypatch):
+    rng = np.random.default_rng(7)
+    e = [(int(a), int(b), float(rng.integers(0, 4))) for a, b in rng.integers(0, 12, (22, 2))] + [(i, int(rng.integers(0, 12)), float(rng.integers(0, 3))) for i in range(12, 40)]
+    e += [(41, 40, 2.0), (42, 43, 0.0), (45, 44, 1.5), (46, 44, 1.5), (45, 44, 3.0)]
+    g = Graph(spark.range(48), spark.createDataFrame(e, "src long, dst long, weight double"), directed)
+    c, searched, real = C.collect(g), [], C.per_source
+    monkeypatch.setattr(C, "per_source", lambda g, sources, *more: searched.append(sources.count()) or real(g, sources, *more))
+    for harmonic in (False, True):
+        want = {}
+        for u in range(48):
+            d = c.dijkstra([u])[0]
+            d = d[np.isfinite(d)]
+            want[u] = (1 / d[d > 0]).sum() / 47 if harmonic else (len(d) - 1) ** 2 / d.sum() / 47 if d.sum() else 0.0
+        got = {r.node: r.score for r in C.weighted_closeness(g, harmonic=harmonic).collect()}
+        assert got == pytest.approx(want)
+    assert searched[0] == 48 if directed else searched[0] < 24
